@@ -1,0 +1,91 @@
+from collections import defaultdict
+from datetime import datetime
+from decimal import Decimal
+
+from tarn.plans.revenue import revenue_by_nation_year
+
+
+def write(spark, root, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+
+
+def small_tables(spark, root, lines, orders, customers, nations):
+    write(spark, root, "lineitem", lines, "l_orderkey long, l_extendedprice double, l_discount double")
+    write(spark, root, "orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    write(spark, root, "customer", customers, "c_custkey long, c_nationkey int")
+    write(spark, root, "nation", nations, "n_nationkey int, n_name string")
+
+
+def brute_force(lines, orders, customers, nations):
+    order_of = {o: (c, d) for o, c, d in orders}
+    nation_of, name_of = dict(customers), dict(nations)
+    revenue, seen = defaultdict(Decimal), defaultdict(set)
+    for okey, price, discount in lines:
+        if okey not in order_of or order_of[okey][0] not in nation_of:
+            continue
+        cust, date = order_of[okey]
+        key = (name_of[nation_of[cust]], date.year)
+        revenue[key] += Decimal(str(price)) * (1 - Decimal(str(discount)))
+        seen[key].add(okey)
+    return sorted((n, y, len(seen[n, y]), float(revenue[n, y])) for n, y in revenue)
+
+
+def result(spark, root):
+    df = revenue_by_nation_year(spark, root).select("n_name", "o_year", "n_orders", "revenue")
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_hot_order_and_hot_customer(spark, tmp_path):
+    """A third of all lines in one order, a third of all orders on one customer."""
+    orders = [
+        (o, 1 if o % 3 == 0 else o % 50, datetime(1995 + o % 4, 12, 31, 23, 59, 59))
+        for o in range(600)
+    ]
+    lines = [
+        (7 if i % 3 == 0 else i % 650, round(900 + (i % 997) * 1.37, 2), (i % 11) / 100)
+        for i in range(6000)
+    ]
+    customers = [(c, c % 5) for c in range(45)]
+    nations = [(n, f"N{n}") for n in range(5)]
+    tables = (lines, orders, customers, nations)
+    small_tables(spark, str(tmp_path), *tables)
+    want = brute_force(*tables)
+    assert result(spark, str(tmp_path)) == want
+    # The same rows when nothing may be broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert result(spark, str(tmp_path)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_orders_without_lines_and_empty_input(spark, tmp_path):
+    orders = [(1, 1, datetime(1995, 1, 1)), (2, 1, datetime(1995, 1, 1))]
+    some, none = tmp_path / "some", tmp_path / "none"
+    small_tables(spark, str(some), [(1, 10.0, 0.1)], orders, [(1, 0)], [(0, "N0")])
+    assert result(spark, str(some)) == [("N0", 1995, 1, 9.0)]
+    small_tables(spark, str(none), [], orders, [(1, 0)], [(0, "N0")])
+    assert result(spark, str(none)) == []
+
+
+def physical_plan(df):
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+def test_scans_read_only_needed_columns(spark):
+    plan = physical_plan(revenue_by_nation_year(spark, "/root/testdata/sf0.001"))
+    schemas = sorted(s.strip() for s in plan.splitlines() if s.startswith("ReadSchema"))
+    assert schemas == sorted([
+        "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>",
+        "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>",
+        "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>",
+        "ReadSchema: struct<n_nationkey:int,n_name:string>",
+    ])
+
+
+def test_no_python_and_no_cross_join(spark):
+    plan = physical_plan(revenue_by_nation_year(spark, "/root/testdata/sf0.001"))
+    for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan
