@@ -1,0 +1,118 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from tarn.llm import simhash as S
+
+
+def slow_fingerprint(text, shingle=4):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in lowered).split(" ") if w]
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(rows, radius=4):
+    """rows: (id, fp); the smallest id of each row's component, by comparing all pairs."""
+    fps = sorted({fp for _, fp in rows})
+    group = {fp: fp for fp in fps}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= radius:
+                group[top(a)] = top(b)
+    ids = {}
+    for i, fp in rows:
+        if i is not None:
+            ids.setdefault(top(fp), []).append(i)
+    return [(i, f"{fp:016x}", min(ids.get(top(fp), []), default=None)) for i, fp in rows]
+
+
+def words(rng, n):
+    return " ".join(rng.choice("ab cd éf gh ij kl mn op qr st uv wx yz".split()) + str(rng.randrange(50)) for _ in range(n))
+
+
+def test_fingerprint():
+    rng = random.Random(2)
+    texts = ["", " ", "one", "One TWO", "a b c", "a b c d", "a b c d e", "ÀÉ É x y z w v", "a " * 99]
+    texts += [words(rng, rng.randrange(1, 400)) for _ in range(20)] + [words(rng, 70_000)]
+    for t in texts:
+        assert S.fingerprint(t) == slow_fingerprint(t)
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        base = words(rng, 200).split(" ")
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = "edit"
+            texts.append(" ".join(copy))
+    texts += [None, "", " \n", "short", "Short", "x" * 300_000]
+    rows = [(i, t) for i, t in enumerate(texts, 10)] + [(None, texts[0]), (None, "only null"), (11, texts[1]), (11, texts[1])]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, fp int, u string")
+    got = sorted(repr(tuple(r)) for r in S.near_groups(docs).collect())
+    want = sorted(map(repr, slow_components([(i, slow_fingerprint(t)) for i, t in rows])))
+    assert got == want
+    assert len({r[2] for r in slow_components([(i, slow_fingerprint(t)) for i, t in rows])}) < len(rows) - 20
+
+
+def test_empty_table(spark):
+    assert S.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("count", [6, 7, 8])
+def test_links_of_dense_and_chained_fingerprints(spark, monkeypatch, count):
+    """A large ball of near fingerprints, chains of steps of 4 bits, and noise; buckets are split."""
+    monkeypatch.setattr(S, "SPLIT", 64)
+    monkeypatch.setattr(S, "block_count", lambda n, radius: count)
+    rng = random.Random(count)
+    fps = set()
+    center = rng.getrandbits(64)
+    while len(fps) < 400:
+        fp = center
+        for b in rng.sample(range(64), rng.randrange(0, 5)):
+            fp ^= 1 << b
+        fps.add(fp)
+    for _ in range(20):
+        fp = rng.getrandbits(64)
+        for _ in range(12):
+            fps.add(fp)
+            for b in rng.sample(range(64), rng.choice((4, 4, 5))):
+                fp ^= 1 << b
+    fps |= {rng.getrandbits(64) for _ in range(200)} | {0, 2**64 - 1, 2**63}
+    rows = list(enumerate(sorted(fps)))
+    signed = [(i, fp - 2**64 if fp >= 2**63 else fp) for i, fp in rows]
+    frame = spark.createDataFrame(signed, "id long, fp long")
+    roots = {r.u: r.root for r in S.components(S.links(frame.select("fp"))).collect()}
+    of = {}
+    for i, fp in signed:
+        of.setdefault(roots.get(fp, fp), []).append(i)
+    got = sorted((i, min(ids)) for ids in of.values() for i in ids)
+    assert got == sorted((i, c) for i, _, c in slow_components(rows))
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    assert sorted(map(tuple, S.components(edges).collect())) == [(i, 0) for i in range(1, n)]
+
+
+def test_forest_has_no_more_edges_than_values():
+    x = np.arange(16, dtype=np.int64)  # all within four bits of each other
+    u, v = S.forest(x, np.zeros(16, dtype=np.int64), 4)
+    assert len(u) == 15 and set(v) == {0}
