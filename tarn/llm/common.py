@@ -58,17 +58,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (id, text), so that no other column of df can clash or be read; a null text is empty."""
+def id_and_text(df: DataFrame, id_col: str, text_col: str, row: Column | str | None = None) -> DataFrame:
+    """Only (id, text) and perhaps row, so that no other column of df can clash or be read; a null text is empty."""
+    more = [] if row is None else [(column(row) if isinstance(row, str) else row).alias("row")]
     return df.select(
-        column(id_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text")
+        column(id_col).alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"), *more
     )
 
 
-def id_field(df: DataFrame, id_col: str) -> T.StructField:
-    return T.StructField("id", df.select(column(id_col)).schema[0].dataType, True)
-
-
 def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts of about so many characters."""
     start = size = 0
@@ -114,7 +111,8 @@ def map_texts(
                     schema=arrow,
                 )
 
-    return df.mapInArrow(run, schema)
+    # Any column name will do, also one with dots.
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

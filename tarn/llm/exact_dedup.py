@@ -163,20 +163,18 @@ def _differing(members: DataFrame) -> DataFrame:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli=MODULI
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, moduli=MODULI
 ) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, and its fingerprint.
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, its fingerprint and number.
 
     Of equal texts, the row with the most code points stays, then the smallest
-    id. Weak moduli change the number of comparison rounds, never the result.
+    id, then the smallest number (of row_col, or given here). Weak moduli change
+    the number of comparison rounds, never the result.
     """
     rows = id_and_text(docs, id_col, text_col)
     longs = [T.StructField(n, T.LongType()) for n in ("n_points", *FINGERPRINT)]
-    known = cut(
-        map_texts(rows, [*longs, T.StructField("text_sha256", T.StringType())], _describe(moduli)).withColumn(
-            "row", F.monotonically_increasing_id()
-        )
-    )
+    numbered = id_and_text(docs, id_col, text_col, row=row_col or F.monotonically_increasing_id())
+    known = cut(map_texts(numbered, [*longs, T.StructField("text_sha256", T.StringType())], _describe(moduli)))
     spark = docs.sparkSession
     repeated = known.groupBy(*FINGERPRINT).agg(F.count("*").alias("n")).where("n > 1")
     bitmap = spark.sparkContext.broadcast(_bitmap(repeated))
@@ -208,3 +206,13 @@ def exact_groups(
         *FINGERPRINT,
         "row",
     )
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each group of equal texts.
+
+    The rows are numbered and written once, so that the numbers hold in every pass.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-dedup")
+    stay = exact_groups(rows, id_col, text_col, "__row").where("kept").select(F.col("row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").drop("__row")

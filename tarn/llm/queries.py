@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import byte_bpe, decontamination, exact_dedup, sharding, simhash
+from tarn.llm import (
+    byte_bpe,
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from tarn.llm.common import table
 
 
@@ -15,6 +26,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
     text = F.col("text").cast("string")
@@ -29,6 +45,37 @@ def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, _tokenizer("word_bpe_49k.json"), limit=2048).withColumnRenamed(
+        "id", "doc_id"
+    )
+
+
+def op4_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s.kind.isin([r.kind for r in secrets.BASE]))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
+
+
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -96,6 +143,12 @@ FROM d
 """
 
 
+def op9_naive_bayes_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op10_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,13 +164,19 @@ def op10_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
-        "op2_hypergeometric_sharding": op2_hypergeometric_sharding,
-        "op6_suffix_automaton_decontamination": op6_suffix_automaton_decontamination,
-        "op7_pivot_simhash": op7_pivot_simhash,
-        "op8_polynomial_exact_dedup": op8_polynomial_exact_dedup,
-        "op10_merge_replay_bpe": op10_merge_replay_bpe,
-    }
+    found = (
+        op1_weak_label_quality,
+        op2_hypergeometric_sharding,
+        op3_transducer_token_counts,
+        op4_block_rule_extraction,
+        op5_trigram_secret_scan,
+        op6_suffix_automaton_decontamination,
+        op7_pivot_simhash,
+        op8_polynomial_exact_dedup,
+        op9_naive_bayes_ngram_toxicity,
+        op10_merge_replay_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, map_texts
+from tarn.llm.common import cut, id_and_text, map_texts, stored
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SPLIT, BIN_ROWS = 2048, 20_000
@@ -71,14 +71,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) for every row, fp as a signed long."""
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rows without their text and with its fingerprint fp, as a signed long."""
 
     def work(texts):
         found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
         return {"fp": found.view(np.int64)}
 
-    return map_texts(id_and_text(docs, id_col, text_col), [T.StructField("fp", T.LongType())], lambda: work)
+    return map_texts(rows, [T.StructField("fp", T.LongType())], lambda: work)
 
 
 def block_count(n: int, radius: int) -> int:
@@ -189,6 +189,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.withColumnRenamed("v", "root")
 
 
+def _rooted(rows: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Rows of (id, text, ...) without the text and with fp, the root of its component and the component's smallest id."""
+    rows = cut(fingerprints(rows, shingle))
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("u", "fp")
+    of_fp = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = of_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = of_fp.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -197,12 +208,28 @@ def near_groups(
     radius: int = RADIUS,
 ) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the component's smallest id)."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("u", "fp")
-    of_fp = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = of_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = of_fp.join(smallest, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
+    return _rooted(id_and_text(docs, id_col, text_col), shingle, radius).select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def kept(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """The row of docs with the smallest id, with all its columns, for each component; of repeated rows, one.
+
+    The rows are numbered and written once, so that the numbers hold in every pass.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    stay = (
+        _rooted(id_and_text(rows, id_col, text_col, "__row"), shingle, radius)
+        .groupBy("root")
+        .agg(F.min(order).alias("first"))
+        .select(F.col("first.row").alias("__row"))
+    )
+    return rows.join(stay, "__row", "left_semi").drop("__row")

@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tarn.llm import secrets as S
+from tarn.llm.queries import op5_trigram_secret_scan
+
+BASE = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+)
+
+
+def brute_force(text, rules=None):
+    rules = rules or [*BASE, *((r.kind, r.compiled(), r.group, r.least) for r in S.MORE)]
+    spans = []
+    for number, (kind, pattern, group, least) in enumerate(rules):
+        spans += [(m.start(), number, m.end(), kind) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)]
+
+
+def texts():
+    rng = random.Random(7)
+    parts = [
+        "password=", "PassWd: '", 'api_key" = "', "APIKEY=", "token", "ſecret=", "toKen: ", "secret:", "AKIA", "AKIAABCDEFGH1234", "xoxb-",
+        "0123456789abcdef", "deadbeef" * 4, "é", " ", "\n", "ghp_", "A1b2" * 10, "AIza", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.abcdefghijkl", "12345678",
+        "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "x/y+z=_.-", ";",
+    ]
+    out = [None, "", "a", "AKIA", "token=1234567", "token=12345678", "tokens = abcdefgh", "K" * 5, "f" * 31, "f" * 32, "f" * 33 + "g"]
+    out += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(500)]
+    return [*out, "filler " * 50_000 + "password = hunter2hunter2", "ab" * 100_000]
+
+
+def test_spans_equal_brute_force():
+    found = S.Scanner(S.RULES).scan([t or "" for t in texts()])
+    for text, spans in zip(texts(), found):
+        assert [f"{S.RULES[k].kind}:{a}:{b}" for a, k, b in spans] == brute_force(text)
+
+
+@pytest.mark.parametrize("rule", S.RULES, ids=lambda r: r.kind)
+def test_matches_satisfy_the_query(rule):
+    query = S.trigram_query(rule)
+    assert (query is True) == (rule.kind == "hex")
+    index = S.Index(sorted(S.trigrams(query)))
+    some = [t or "" for t in texts()]
+    index.read(some)
+    candidates = index.candidates(query)
+    matched = [bool(rule.compiled().search(t)) for t in some]
+    assert any(matched) and all(c for c, m in zip(candidates, matched) if m)
+    if query is not True:
+        assert sum(candidates) < len(some) / 2 + sum(matched)
+
+
+def test_queries_of_expressions():
+    query = lambda p: S.trigram_query(S.Rule("x", p))
+    assert query("abcd") == ("and", frozenset({b"abc", b"bcd"}))
+    assert query("ABC") == b"abc"
+    assert query("abc|xyz") == ("or", frozenset({b"abc", b"xyz"}))
+    assert query("(abc)?x") is True and query("a.c") is True and query("ab+c*d") is True
+    assert query("(?:abc)+[0-9]*") == b"abc"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, ""), (1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "AKIA" * 5)]])
+def test_rows(spark, rows):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, found int")
+    found = S.secrets(docs).collect()
+    assert sorted(repr((r.id, [f"{s.kind}:{s.start}:{s.end}" for s in r.found])) for r in found) == sorted(
+        repr((i, brute_force(t))) for i, t in rows
+    )
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = op5_trigram_secret_scan(spark, sf).collect()
+    assert len(found) == len(text) and any(r.n_assign for r in found)
+    for r in found:
+        base = brute_force(text[r.doc_id], BASE)
+        assert r.spans == ",".join(brute_force(text[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k + ":") for s in base) for k, *_ in BASE)
