@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.sources.tables import read_table
 
 
+def _hundredths(name: str) -> Column:
+    """The column in whole hundredths; null stays null, a value with more than two decimals is refused."""
+    scaled = F.col(name) * 100
+    whole = F.rint(scaled)
+    return F.when(
+        F.abs(scaled - whole) >= 1e-4,
+        F.raise_error(F.concat(F.lit(f"{name} has more than two decimals: "), F.col(name).cast("string"))).cast("long"),
+    ).otherwise(whole.cast("long"))
+
+
 def revenue_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (nation, year) over all of lineitem, orders and customer.
+    """One row per (nation name, year) over all of lineitem, orders and customer.
+
+    o_orderkey, c_custkey and n_nationkey must be keys of their tables: a
+    repeated order row would count twice. Nations of one name count together.
 
     Each join key is aggregated before it is joined on. Partial aggregation
     then folds a hot order or customer into at most one row per map task and
@@ -20,12 +33,13 @@ def revenue_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     key. No side is hinted: Spark broadcasts customer or nation only when its
     own size estimate is under spark.sql.autoBroadcastJoinThreshold.
 
-    Prices and discounts hold two decimals. They become whole cents and whole
-    percents, whose product is summed as a decimal: exact, independent of row
-    order, and without the costly double-to-decimal cast on every line.
+    Prices and discounts hold two decimals; others are refused, not rounded.
+    They become whole cents and whole percents, whose product is summed as a
+    decimal: exact, independent of row order, and without the costly
+    double-to-decimal cast on every line.
     """
-    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
-    percent_paid = 100 - F.rint(F.col("l_discount") * 100).cast("long")
+    cents = _hundredths("l_extendedprice")
+    percent_paid = 100 - _hundredths("l_discount")
     per_order = (
         read_table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -45,12 +59,13 @@ def revenue_by_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("c_nationkey", "o_year")
         .agg(F.sum("revenue").alias("revenue"), F.sum("n_orders").alias("n_orders"))
     )
-    revenue = F.col("revenue") * F.lit(Decimal("0.0001"))
+    revenue = F.sum("revenue") * F.lit(Decimal("0.0001"))
     return (
         read_table(spark, sf_dir, "nation")
         .select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
         .join(per_nation, "c_nationkey")
-        .select("n_name", "o_year", "n_orders", revenue.cast("double").alias("revenue"))
+        .groupBy("n_name", "o_year")
+        .agg(F.sum("n_orders").alias("n_orders"), revenue.cast("double").alias("revenue"))
     )
 
 

@@ -2,7 +2,11 @@ from collections import defaultdict
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from tarn.plans.revenue import revenue_by_nation_year
+from tarn.sources.tables import read_table
 
 
 def write(spark, root, name, rows, schema):
@@ -89,3 +93,49 @@ def test_no_python_and_no_cross_join(spark):
     plan = physical_plan(revenue_by_nation_year(spark, "/root/testdata/sf0.001"))
     for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
+
+
+ONE_ORDER = ([(1, 1, datetime(1995, 1, 1))], [(1, 0)], [(0, "N0")])
+
+
+@pytest.mark.parametrize("price,discount", [(100.0, 0.125), (0.125, 0.1), (10.001, 0.0)])
+def test_more_than_two_decimals_are_refused(spark, tmp_path, price, discount):
+    small_tables(spark, str(tmp_path), [(1, price, discount)], *ONE_ORDER)
+    with pytest.raises(Exception, match="has more than two decimals"):
+        result(spark, str(tmp_path))
+
+
+def test_null_price_and_discount_add_nothing(spark, tmp_path):
+    some, none = tmp_path / "some", tmp_path / "none"
+    small_tables(spark, str(some), [(1, None, 0.1), (1, 10.0, None), (1, 10.0, 0.5)], *ONE_ORDER)
+    assert result(spark, str(some)) == [("N0", 1995, 1, 5.0)]
+    small_tables(spark, str(none), [(1, None, 0.1)], *ONE_ORDER)
+    assert result(spark, str(none)) == [("N0", 1995, 1, None)]
+
+
+def test_nations_of_one_name_count_together(spark, tmp_path):
+    orders = [(o, o % 4, datetime(1995, 1, 1)) for o in range(8)]
+    lines = [(o, 10.0 + o, 0.1) for o in range(8)]
+    customers = [(c, c) for c in range(4)]
+    nations = [(0, "A"), (1, "B"), (2, "A"), (3, "C")]
+    small_tables(spark, str(tmp_path), lines, orders, customers, nations)
+    assert result(spark, str(tmp_path)) == brute_force(lines, orders, customers, nations)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_keys_of_the_given_tables_are_unique(spark, sf):
+    for table, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("nation", "n_nationkey")):
+        rows = read_table(spark, f"/root/testdata/{sf}", table)
+        assert rows.groupBy(key).count().where(F.col("count") > 1).isEmpty()
+
+
+def test_exchanges_without_broadcast(spark):
+    """lineitem is shuffled once; the last exchange is that of nations x years rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(revenue_by_nation_year(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Exchange (")]
+    assert len(exchanges) == 9
+    assert plan.count("Arguments: hashpartitioning(l_orderkey#") == 1
