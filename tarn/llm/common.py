@@ -7,14 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.sources.tables import read_table
 
-#: Texts handed to numpy at once hold about so many characters; one longer text goes alone.
-BLOCK_CHARS = 2_000_000
+#: Texts handed to a function at once hold about so many bytes; one longer text goes alone.
+BLOCK_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,16 +67,16 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, row: Column | str | N
     )
 
 
-def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts of about so many characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > chars:
+def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) whose sizes add up to about `most`; a larger one stands alone or ends a run."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_texts(
@@ -101,10 +102,10 @@ def map_texts(
 
         work, arrow = make(), to_arrow_schema(schema)
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
+            texts = batch.column(at)
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at or keep_text]
-            for i, j in blocks(texts):
-                out = work(texts[i:j])
+            for i, j in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                out = work([x or "" for x in texts.slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i).cast(f.type) for c, f in zip(kept, arrow)]
                     + [pa.array(out[n], type=arrow.field(n).type) for n in names],
