@@ -16,8 +16,8 @@ is fitted on at most about FIT_ROWS documents taken by a hash of id and text.
 
 Defined cases: a null, empty or blank text has nothing to keep and gets quality
 0. Null ids, repeated rows and very long texts are scored as they stand, whole.
-An empty table gives an empty result. Other columns are not read by `scores` and
-pass through `kept`.
+An empty table gives an empty result. Other columns are not read, and pass
+through `kept`.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ from tarn.llm.linear import fit_logistic, probability
 SIZE = 1 << 12
 FIT_ROWS, RIDGE = 20_000, 1e-5
 THRESHOLD = 0.5
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 #: Weak prior of the labellers' accuracy, as counts of right and wrong votes.
 PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
 EM_ROUNDS = 60
@@ -226,57 +227,54 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, t: Traits | None) -> float:
-        if t is None:
-            return 0.0
-        index, value = features(t)
-        return probability(self.bias + float(self.weights[index] @ np.array(value)))
+    def score(self, index: list[int], value: list[float]) -> float:
+        return probability(self.bias + float(self.weights[index] @ np.array(value, dtype=float)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """The label model of all documents, and the scorer that its posteriors give."""
-    rows = id_and_text(docs, id_col, text_col)
-    places = 1 << 20
-    rows = rows.select("text", F.pmod(F.xxhash64("id", "text"), F.lit(places)).alias("place"))
+#: One reader stays in a Python worker for its next tasks.
+_READER = Reader()
+_PLACES = 1 << 20
+_FIELDS = [
+    T.StructField("votes", T.StringType()),
+    T.StructField("index", T.ArrayType(T.IntegerType())),
+    T.StructField("value", T.ArrayType(T.FloatType())),
+]
 
-    def make():
-        reader = Reader()
 
-        def work(texts):
-            found = [reader.traits(t) for t in texts]
-            hashed = [features(t) if t else ([], []) for t in found]
-            return {
-                "votes": [votes(t) if t else None for t in found],
-                "index": [h[0] for h in hashed],
-                "value": [h[1] for h in hashed],
-            }
+def _describe(texts: list[str]) -> dict[str, list]:
+    """Votes, null for a text without words, and features."""
+    found = [_READER.traits(t) for t in texts]
+    hashed = [features(t) if t else ([], []) for t in found]
+    return {
+        "votes": [votes(t) if t else None for t in found],
+        "index": [h[0] for h in hashed],
+        "value": [h[1] for h in hashed],
+    }
 
-        return work
 
-    fields = [
-        T.StructField("votes", T.StringType()),
-        T.StructField("index", T.ArrayType(T.IntegerType())),
-        T.StructField("value", T.ArrayType(T.FloatType())),
-    ]
-    described = cut(map_texts(rows, fields, make).where("votes IS NOT NULL"))
-    patterns = {r["votes"]: r["n"] for r in described.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, votes, features, and a place in the order of the sample; kept without lineage."""
+    rows = id_and_text(docs, id_col, text_col)
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "text"), F.lit(_PLACES)))
+    return cut(map_texts(rows, _FIELDS, lambda: _describe))
+
+
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """The label model of all described rows, and the scorer that its posteriors give."""
+    rows = rows.where("votes IS NOT NULL")
+    patterns = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return Model(LabelModel(0.9, np.full((len(LABELLERS), 2), 0.8)), np.zeros(SIZE), 0.0)
     labels = estimate(patterns)
-    wanted = min(places, max(1, round(places * fit_rows / sum(patterns.values()))))
-    sample = (
-        described.where(F.col("place") < wanted)
-        .select("votes", "index", "value", "place")
-        .orderBy("place", "votes")
-        .toArrow()
-    )
+    wanted = min(_PLACES, max(1, round(_PLACES * fit_rows / sum(patterns.values()))))
+    chosen = rows.where(F.col("place") < wanted).select("votes", "index", "value", "place")
+    sample = chosen.orderBy("place", "votes").toArrow()
     index = sample.column("index").combine_chunks()
-    starts = np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy(zero_copy_only=False))))
     posterior = {p: labels.posterior(p) for p in patterns}
     weights, bias = fit_logistic(
         index.flatten().to_numpy(),
         sample.column("value").combine_chunks().flatten().to_numpy().astype(np.float64),
-        starts,
+        np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy(zero_copy_only=False)))),
         np.array([posterior[p] for p in sample.column("votes").to_pylist()]),
         SIZE,
         RIDGE,
@@ -285,37 +283,48 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     return Model(labels, weights, bias)
 
 
-def _scored(rows: DataFrame, model: Model, text_col: str, keep_text: bool) -> DataFrame:
+def scores(rows: DataFrame, model: Model) -> DataFrame:
+    """One row per described row: id, score (0 to 1, higher: cleaner), posterior (of the votes), kept."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType(
+        [rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("posterior", T.DoubleType())]
+    )
 
-    def make():
-        reader, model = Reader(), shared.value
+    def score(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        def work(texts):
-            found = [reader.traits(t) for t in texts]
-            return {
-                "__score": [model.score(t) for t in found],
-                "__posterior": [model.labels.posterior(votes(t)) if t else 0.0 for t in found],
-            }
+        model, arrow, posterior = shared.value, to_arrow_schema(schema), {None: 0.0}
+        for batch in batches:
+            voted = batch.column("votes").to_pylist()
+            for v in {*voted} - {*posterior}:
+                posterior[v] = model.labels.posterior(v)
+            found = zip(voted, batch.column("index").to_pylist(), batch.column("value").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").cast(arrow.field("id").type),
+                    pa.array([model.score(i, v) if p else 0.0 for p, i, v in found], pa.float64()),
+                    pa.array([posterior[v] for v in voted], pa.float64()),
+                ],
+                schema=arrow,
+            )
 
-        return work
+    found = rows.select("id", "votes", "index", "value").mapInArrow(score, schema)
+    return found.withColumn("kept", F.col("score") >= THRESHOLD)
 
-    fields = [T.StructField("__score", T.DoubleType()), T.StructField("__posterior", T.DoubleType())]
-    return map_texts(rows, fields, make, text_col, keep_text)
 
+def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that the scorer doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score (0 to 1, higher: cleaner), posterior (of the votes), kept."""
-    found = _scored(id_and_text(docs, id_col, text_col), model, "text", False)
-    return found.select(
-        "id",
-        F.col("__score").alias("score"),
-        F.col("__posterior").alias("posterior"),
-        (F.col("__score") >= THRESHOLD).alias("kept"),
-    )
+    def make():
+        model = shared.value
 
+        def work(texts):
+            found = _describe(texts)
+            rows = zip(found["votes"], found["index"], found["value"])
+            return {"__score": [model.score(i, np.float32(v)) if p else 0.0 for p, i, v in rows]}
 
-def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the scorer doesn't reject."""
-    found = _scored(docs, model, text_col, True).where(F.col("__score") >= THRESHOLD)
-    return found.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+        return work
+
+    found = map_texts(docs, [T.StructField("__score", T.DoubleType())], make, text_col, keep_text=True)
+    return found.where(F.col("__score") >= THRESHOLD).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -27,8 +27,8 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.scores(docs, quality.fit(docs)).withColumnRenamed("id", "doc_id")
+    rows = quality.described(table(spark, sf_dir, "documents"))
+    return quality.scores(rows, quality.fit(rows)).withColumnRenamed("id", "doc_id")
 
 
 def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

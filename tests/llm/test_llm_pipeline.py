@@ -36,7 +36,8 @@ def after_each_stage(spark, docs, sf_dir):
 def brute_force(rows, items, model):
     """rows: (doc_id, text) with distinct ids; the ids left after each filtering stage."""
     reader, left = quality.Reader(), []
-    rows = [r for r in rows if model.score(reader.traits(r[1] or "")) >= 0.5]
+    traits = {i: reader.traits(t or "") for i, t in rows}
+    rows = [r for r in rows if traits[r[0]] and model.score(*quality.features(traits[r[0]])) >= 0.5]
     left.append({i for i, _ in rows})
     groups = {}
     for i, t in rows:
@@ -65,7 +66,7 @@ def brute_force(rows, items, model):
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    model = quality.fit(docs)
+    model = quality.fit(quality.described(docs))
     left, rows = brute_force([(r.doc_id, r.text) for r in docs.collect()], items, model)
     found = after_each_stage(spark, docs, SF)
     for (name, frame), ids in zip(found[:-1], left):
