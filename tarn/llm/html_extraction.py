@@ -62,12 +62,12 @@ BLOCK = frozenset(
     table tbody td tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that name boilerplate (fixed values).
+#: Words in a class, id or role that name boilerplate (fixed values); an article may have a header of its own.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal"
-    r"|overlay|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|copyright|legal|sidebar|side|aside"
-    r"|widget|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup"
-    r"|login|search|toolbar|skip|complementary|contentinfo)(?:$|[\s_-])"
+    r"|overlay|nav|navbar|navigation|menu\w*|breadcrumbs?|(?P<header>header|masthead)|footer|copyright|legal|sidebar"
+    r"|side|aside|widget|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter"
+    r"|subscribe|signup|login|search|toolbar|skip|complementary|contentinfo)(?=$|[\s_-])"
 )
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -90,10 +90,12 @@ class Block:
     label: bool | None = field(default=None)
 
 
-def _hinted(rest: str) -> bool:
+def _hinted(rest: str, inside: bool) -> bool:
+    """Whether a tag's attributes name boilerplate; inside the main part, headers don't count."""
     if "=" not in rest:
         return False
-    return any(HINT.search(" ".join(x).strip().lower()) for x in ATTRIBUTE.findall(rest))
+    named = " ".join(" ".join(x) for x in ATTRIBUTE.findall(rest)).lower()
+    return any(not (inside and m["header"]) for m in HINT.finditer(named))
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -114,6 +116,8 @@ def page_blocks(page: str) -> list[Block]:
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
+            if any(bad and tag not in BLOCK for tag, bad, _ in open_tags):
+                continue  # boilerplate within a line, such as a share link
             parts.append(text)
             if state["links"]:
                 state["linked"] += len(text)
@@ -128,17 +132,24 @@ def page_blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             state["links"] = 0 if name != "a" and m["close"] else state["links"]
-        if name in VOID or name in ("p", "a") and not m["close"] and not _hinted(m["rest"]):
-            continue
         if m["close"]:
             if any(t[0] == name for t in open_tags):
                 while open_tags.pop()[0] != name:
                     pass
-        elif name in BLOCK or _hinted(m["rest"]):
-            inside = any(t[2] for t in open_tags)
-            bad = name in BOILERPLATE and not (name == "header" and inside) or _hinted(m["rest"])
-            if not m["rest"].endswith("/") or name in BLOCK:
-                open_tags.append((name, bad, name in MAIN))
+            continue
+        if name in VOID:
+            continue
+        inside = any(t[2] for t in open_tags)
+        hinted = _hinted(m["rest"], inside)
+        if name == "p":
+            # A paragraph ends where the next block begins, closed or not.
+            while open_tags and open_tags[-1][0] == "p":
+                open_tags.pop()
+        if hinted or name in BLOCK and name != "p":
+            if open_tags and open_tags[-1][0] == "p" and name in BLOCK:
+                open_tags.pop()
+            bad = hinted or name in BOILERPLATE and not (name == "header" and inside)
+            open_tags.append((name, bad, name in MAIN))
     flush()
     return blocks
 

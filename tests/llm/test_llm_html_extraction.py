@@ -71,7 +71,8 @@ def test_ambiguous_blocks_inherit_from_the_nearest_decided():
 
 @pytest.mark.parametrize("page,want", [
     ("", ""), ("<", ""), ("plain", ""), ("<article>a &lt;b&gt; &amp;amp; &copy;&am</article>", "a <b> &amp; ©&am"),
-    ("<article><p>One<p>Two\n\t three<br>four", "One\nTwo three four"), ("<article>x<!-- y", "x"), ("<article>x<script>y", "x"),
+    ("<article><p>One<p>Two\n\t three<br>four", "One\nTwo three four"), ("<article>x<!-- y", "x"), ("<article>x<script>y", "x"), ('<article><p class="advert">a<p>b<p class=share>c<div>d</div></article>', "b\nd"),
+    ('<div class="page-header">a</div><article><div class="entry-header"><h1>T</h1></div>x<span class="ad">y</span>z</article>', "T\nxz"),
     ("<ARTICLE>x<b>y</b> z</ARTICLE><footer>f", "xy z"), ("<article><h2> \n </h2>1 < 2</article>", "1 < 2"),
     ('<article><img alt="a > b">x</article>', "x"), ("<article><p>" + "w " * 100_000 + "</p></article>", "w " * 99_999 + "w"),
 ])
