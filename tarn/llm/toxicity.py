@@ -1,16 +1,16 @@
 """Toxicity scores by a character n-gram linear classifier with naive Bayes log-count ratios.
 
 Features are the character n-grams of a text's words, with marks at the words'
-ends, hashed. A feature's value is the number of distinct words of the text that
-hold it, scaled by the feature's naive Bayes log-count ratio: the logarithm of
+ends, hashed. A feature's value is how often it stands in the text's distinct
+words, scaled by the feature's naive Bayes log-count ratio: the logarithm of
 how much more often toxic training texts hold it than others, smoothed toward
 equality. Ratios are counted over all training rows. Features whose ratio lies
 within DULL of zero say nothing and are left out. A logistic regression on the
 scaled features is fitted on at most about FIT_ROWS training rows, taken by a
 hash of their ids, and gives the weights.
 
-So a text's score is a sum over its distinct words, and a task keeps the sums
-of the words it has met, KEPT_WORDS at most.
+So a text's score is a sum over its distinct words; a block of texts hashes the
+n-grams of its distinct words together.
 
 Training rows are those whose label is known and whose id is not held out; an id
 is held out if crc32(id as text) mod 5 is 0. Only texts enter a score. Without
@@ -25,23 +25,23 @@ scored alike. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import column, id_and_text, map_texts
+from tarn.llm.common import blocks, column, id_and_text, map_texts
 from tarn.llm.linear import fit_logistic, probability
 
 ORDERS = (3, 4, 5, 6)
 SIZE = 1 << 18
 SMOOTHING, DULL = 30.0, 1.0
 FIT_ROWS, RIDGE, ROUNDS = 20_000, 1e-4, 1000
-KEPT_WORDS = 1_000_000
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,16 +51,43 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def features(word: str) -> list[int]:
-    """The hashed n-grams of a word, each once."""
-    marked = f"<{word}>"
-    return list(
-        {
-            zlib.crc32(marked[i : i + n].encode()) % SIZE
-            for n in ORDERS
-            for i in range(max(1, len(marked) - n + 1))
-        }
-    )
+class Words:
+    """The distinct words of a block of texts, with their hashed n-grams."""
+
+    def __init__(self, texts: list[str]):
+        self.of_text = [words(t) for t in texts]
+        self.number = {w: i for i, w in enumerate(set().union(*self.of_text))}
+        lengths = np.fromiter((len(w) + 2 for w in self.number), np.int64, len(self.number))
+        points = np.frombuffer("".join([f"<{w}>" for w in self.number]).encode("utf-32-le"), np.uint32)
+        points = np.concatenate((points, np.zeros(max(ORDERS), np.uint32))).astype(np.uint64)
+        n = int(lengths.sum())
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # characters from here to the word's end
+        rolling = np.zeros(n, np.uint64)
+        self.owner, self.feature = [], []
+        for order in range(1, max(ORDERS) + 1):
+            rolling = rolling * np.uint64(0x100000001B3) + points[order - 1 : order - 1 + n]
+            if order in ORDERS:
+                mixed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                fits = left >= order
+                self.owner.append(word[fits])
+                self.feature.append((mixed[fits] >> np.uint64(40)).astype(np.int64) % SIZE)
+        self.owner, self.feature = np.concatenate(self.owner), np.concatenate(self.feature)
+
+    def sums(self, weights: np.ndarray) -> dict[str, float]:
+        """For each word the sum of its n-grams' weights."""
+        totals = np.bincount(self.owner, weights=weights[self.feature], minlength=len(self.number))
+        return dict(zip(self.number, totals.tolist()))
+
+    def features(self) -> Iterator[np.ndarray]:
+        """For each text the n-grams of its words, as often as they stand there."""
+        order = np.argsort(self.owner, kind="stable")
+        feature, sizes = self.feature[order], np.bincount(self.owner, minlength=len(self.number))
+        starts = np.cumsum(sizes) - sizes
+        for found in self.of_text:
+            own = np.fromiter((self.number[w] for w in found), np.int64, len(found))
+            n = sizes[own]
+            yield feature[np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 @dataclass
@@ -93,24 +120,16 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     def count(batches):
         held = np.zeros((2, SIZE + 1), dtype=np.int64)  # the last place counts the texts
-        known: dict[str, np.ndarray] = {}
+        seen = np.zeros(SIZE, dtype=bool)
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                if len(known) > KEPT_WORDS // 4:
-                    known = {}
-                parts = []
-                for word in words(text or ""):
-                    found = known.get(word)
-                    if found is None:
-                        found = np.array(features(word), dtype=np.int32)
-                        if len(word) < 64:
-                            known[word] = found
-                    parts.append(found)
-                seen = np.zeros(SIZE + 1, dtype=bool)
-                if parts:
-                    seen[np.concatenate(parts)] = True
-                seen[SIZE] = True
-                held[label] += seen
+            texts, labels = batch.column("text"), batch.column("label").to_pylist()
+            for i, j in blocks(pc.binary_length(texts).to_pylist()):
+                for found, label in zip(Words(texts.slice(i, j - i).to_pylist()).features(), labels[i:j]):
+                    seen[found] = True
+                    at = np.flatnonzero(seen)
+                    held[label, at] += 1
+                    held[label, SIZE] += 1
+                    seen[at] = False
         at = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), pa.array(held[1, at]), pa.array(held[0, at])], names=["feature", "toxic", "other"]
@@ -159,12 +178,10 @@ def fit(
 
         def work(texts):
             index, value = [], []
-            for text in texts:
-                found = [np.array(features(w), dtype=np.int64) for w in words(text)]
-                at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-                told = ratio[at] != 0
-                index.append(at[told].astype(np.int32))
-                value.append((n[told] * ratio[at[told]]).astype(np.float32))
+            for found in Words(texts).features():
+                at, n = np.unique(found[ratio[found] != 0], return_counts=True)
+                index.append(at.astype(np.int32))
+                value.append((n * ratio[at]).astype(np.float32))
             return {"index": index, "value": value}
 
         return work
@@ -184,23 +201,10 @@ def fit(
     return Model(weights * ratios, bias)
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def score(self, text: str) -> float:
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        total = self.model.bias
-        for word in words(text):
-            value = known.get(word)
-            if value is None:
-                value = float(self.model.weights[features(word)].sum())
-                if len(word) < 64:
-                    known[word] = value
-            total += value
-        return probability(total)
+def score(texts: list[str], model: Model) -> list[float]:
+    found = Words(texts)
+    known = found.sums(model.weights)
+    return [probability(model.bias + sum(map(known.__getitem__, own))) for own in found.of_text]
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,8 +212,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Scorer(shared.value)
-        return lambda texts: {"score": [scorer.score(t) for t in texts]}
+        model = shared.value
+        return lambda texts: {"score": score(texts, model)}
 
     found = map_texts(id_and_text(docs, id_col, text_col), [T.StructField("score", T.DoubleType())], make)
     return found.select(

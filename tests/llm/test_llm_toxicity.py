@@ -37,8 +37,18 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     )
     a, b = X.fit(docs, label(0)), X.fit(docs, label(1))
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
-    scorer = X.Scorer(a)
-    assert scorer.score("a bad one") > scorer.score("a nice one")
+    bad, nice, none = X.score(["a bad one", "a nice one", ""], a)
+    assert bad > nice and 0 <= none <= 1
+    assert X.score(["a bad one"], a) == [bad] and X.score([], a) == []
+
+
+def test_words_of_a_block():
+    texts = ["", "One two ONE", "x", "élan two " + "long" * 50]
+    block = X.Words(texts)
+    for text, found in zip(texts, block.features()):
+        sizes = [sum(max(0, len(w) + 3 - n) for n in X.ORDERS) for w in X.words(text)]
+        assert len(found) == sum(sizes)
+        assert sorted(found) == sorted(f for alone in [X.Words([text])] for f in alone.feature)
 
 
 @pytest.mark.parametrize("rows,labels", [
