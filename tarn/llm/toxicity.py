@@ -43,6 +43,7 @@ SIZE = 1 << 18
 SMOOTHING, DULL = 30.0, 1.0
 FIT_ROWS, RIDGE, ROUNDS = 20_000, 1e-4, 1000
 FOLDS = 5
+BITMAP_BITS = 1 << 26
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -101,14 +102,31 @@ def held_out(id_column: Column) -> Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of the rows to learn from."""
+    """(id, text, label) of the rows to learn from.
+
+    A bitmap of the labelled ids, of BITMAP_BITS at most, goes to the scan of
+    the texts, so that hardly any other text is shuffled to the labels.
+    """
     known = (
         labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id")
         .agg(F.max("label").alias("label"))
     )
-    return id_and_text(docs, id_col, text_col).where(~held_out(F.col("id"))).join(known, "id")
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)).alias("place")
+    part, bit = F.floor(F.col("place") / 32768).alias("part"), F.col("place") % 32768
+    bitmap = known.select(place).groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = (
+        id_and_text(docs, id_col, text_col)
+        .where(~held_out(F.col("id")))
+        .select("id", "text", place)
+        .withColumn("part", part)
+        .join(F.broadcast(bitmap), "part")
+        .where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1)
+        .select("id", "text")
+    )
+    return rows.join(known.hint("merge"), "id")
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -191,7 +209,7 @@ def fit(
         T.StructField("value", T.ArrayType(T.FloatType())),
     ]
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(places)) < wanted)
-    sample = map_texts(chosen, fields, describe).orderBy("id", "label").toArrow()
+    sample = map_texts(chosen, fields, describe).toArrow().sort_by("id")
     index = sample.column("index").combine_chunks()
     starts = np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy(zero_copy_only=False))))
     values = sample.column("value").combine_chunks().flatten().to_numpy().astype(np.float64)
