@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from tarn.llm.common import stored
 
 ROUNDS = 40
-SLOTS_A_TASK = 50_000
+SLOTS_A_TASK = 10_000
+#: Runs that may be broadcast, of some 50 bytes each: enough for 100,000 partitions and 8 shards.
+BROADCAST_RUNS = 1_000_000
 _WHERE = "__partition"
 _INDEX = "__index"
 
@@ -109,7 +111,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
         for s in range(shards):
             plan.append((where, count, s, start, start + line[s], before[s], sizes[s]))
             start, before[s] = start + line[s], before[s] + line[s]
-    # Rows for each partition: count, and an array by shard. Spark broadcasts it while it is small.
+    # A row for each partition: its count, and its runs.
     runs = (
         spark.createDataFrame(
             plan, f"{_WHERE} long, n long, shard int, start long, stop long, before long, size long"
@@ -118,6 +120,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
         .groupBy(_WHERE, "n")
         .agg(F.collect_list(F.struct("shard", "start", "stop", "before", "size")).alias("runs"))
     )
+    if len(plan) <= BROADCAST_RUNS:
+        runs = F.broadcast(runs)  # else a join on the partitions, none of which holds many rows
     local = permuted(F.col(_INDEX), F.col("n"), F.col(_WHERE), seed)
     placed = (
         rows.join(runs, _WHERE)
