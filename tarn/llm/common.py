@@ -67,6 +67,18 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, row: Column | str | N
     )
 
 
+#: What a Python worker keeps for its next tasks: one thing, so that stages don't add up.
+_KEPT: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """make()'s result, from an earlier task of this Python worker if the last key was the same."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [i, j) whose sizes add up to about `most`; a larger one stands alone or ends a run."""
     start = total = 0
