@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, map_texts
+from tarn.llm.common import cut, id_and_text, kept_in_worker, map_texts
 from tarn.llm.linear import fit_logistic, probability
 
 SIZE = 1 << 12
 FIT_ROWS, RIDGE = 20_000, 1e-5
 THRESHOLD = 0.5
-KEPT_WORDS = 700_000
+KEPT_WORDS = 400_000
 #: Weak prior of the labellers' accuracy, as counts of right and wrong votes.
 PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
 EM_ROUNDS = 60
@@ -88,6 +88,7 @@ class Reader:
 
     def __init__(self):
         self.known: dict[str, tuple] = {}
+        self.shapes: dict[str, str] = {}  # one string for each shape
 
     def _word(self, word: str) -> tuple:
         """Shape; symbols, letters and capitals in it; whether it is bare, ends in a run of marks, is plain, ends a sentence; length."""
@@ -97,8 +98,10 @@ class Reader:
         last = word[-1]
         run = len(word) > 1 and last == word[-2] and not last.isalnum() and last != "."
         plain = (word[:-1] if last in ".,;:!?" else word).isalpha() and (letters == 1 or not word[1:].isupper())
+        form = shape(word)
         found = (
-            shape(word), symbols, letters, sum(map(str.isupper, word)), alnum == 0, run, plain, last in ".!?", len(word)
+            self.shapes.setdefault(form, form), symbols, letters, sum(map(str.isupper, word)), alnum == 0, run, plain,
+            last in ".!?", len(word),
         )
         if len(word) < 64:
             self.known[word] = found
@@ -111,7 +114,7 @@ class Reader:
         if not n:
             return None
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
+            self.known, self.shapes = {}, {}
         counts, known = Counter(words), self.known
         shapes: dict[str, int] = {}
         symbols = letters = capitals = bare = runs = plain = ends = chars = 0
@@ -231,8 +234,6 @@ class Model:
         return probability(self.bias + float(self.weights[index] @ np.array(value, dtype=float)))
 
 
-#: One reader stays in a Python worker for its next tasks.
-_READER = Reader()
 _PLACES = 1 << 20
 _FIELDS = [
     T.StructField("votes", T.StringType()),
@@ -243,7 +244,8 @@ _FIELDS = [
 
 def _describe(texts: list[str]) -> dict[str, list]:
     """Votes, null for a text without words, and features."""
-    found = [_READER.traits(t) for t in texts]
+    reader = kept_in_worker("quality", Reader)
+    found = [reader.traits(t) for t in texts]
     hashed = [features(t) if t else ([], []) for t in found]
     return {
         "votes": [votes(t) if t else None for t in found],

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import id_and_text, map_texts
+from tarn.llm.common import id_and_text, kept_in_worker, map_texts
 
 LIMIT = 2048
 CHUNK = 256
@@ -357,10 +357,6 @@ def _read(spec: str) -> tuple[re.Pattern, list[tuple[str, str]]]:
     return re.compile("|".join(re.escape(s["content"]) for s in specials)), merges
 
 
-#: One compiled tokenizer stays in a Python worker for its next tasks.
-_READY: dict[int, Counter] = {}
-
-
 def token_counts(
     docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -371,10 +367,7 @@ def token_counts(
     shared, name = docs.sparkSession.sparkContext.broadcast(spec), hash(spec)
 
     def make():
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = Counter(shared.value)
-        counter = _READY[name]
+        counter = kept_in_worker(("token counts", name), lambda: Counter(shared.value))
 
         def work(texts):
             return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": counter.count(texts)}
