@@ -147,7 +147,8 @@ def _bitmap(repeated: DataFrame) -> bytes:
 
 def _differing(members: DataFrame) -> DataFrame:
     """The members whose body differs from the smallest body of their fingerprint."""
-    first = members.groupBy(*FINGERPRINT).agg(F.min("body").alias("first_body"))
+    # Stored apart, so that the join's sides are plain exchanges, of which Spark can split a hot one.
+    first = stored(members.groupBy(*FINGERPRINT).agg(F.min("body").alias("first_body")), "exact-dedup")
     pairs = members.join(first, list(FINGERPRINT))
 
     def differ(batches):
@@ -196,7 +197,7 @@ def exact_groups(
         turn, left = turn + 1, cut(_differing(left))
     same_text = [*FINGERPRINT, "round"]
     order = F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id"), F.col("row"))
-    groups = known.groupBy(*same_text).agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
+    groups = cut(known.groupBy(*same_text).agg(F.count("*").alias("group_size"), F.min(order).alias("first")))
     return known.join(groups, same_text).select(
         "id",
         F.col("first.id").alias("keep_id"),
