@@ -180,9 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
     before, after = None, state(now)
     while before != after and after[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Cut apart, so that the join's sides are plain exchanges, of which Spark can split that of a hub.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, after = after, state(now)
@@ -195,7 +197,7 @@ def _rooted(rows: DataFrame, shingle: int, radius: int) -> DataFrame:
     distinct = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("u", "fp")
     of_fp = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = of_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = cut(of_fp.groupBy("root").agg(F.min("first_id").alias("component_id")))
     classes = of_fp.join(smallest, "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp")
 
