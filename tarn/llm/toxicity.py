@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import blocks, column, id_and_text, map_texts
+from tarn.llm.common import blocks, column, cut, id_and_text, map_texts
 from tarn.llm.linear import fit_logistic, probability
 
 ORDERS = (3, 4, 5, 6)
@@ -107,7 +107,7 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     A bitmap of the labelled ids, of BITMAP_BITS at most, goes to the scan of
     the texts, so that hardly any other text is shuffled to the labels.
     """
-    known = (
+    known = cut(
         labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id")
