@@ -29,6 +29,7 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -45,30 +46,36 @@ SPLIT, BIN_ROWS = 2048, 20_000
 REFERENCES = np.array([(i * 0x9E3779B97F4A7C15) % 2**64 for i in range(1, 33)], dtype=np.uint64)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text, unsigned."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each of the text's word shingles, in order; one for a shorter text, none without words."""
     import xxhash
 
     words = text.encode().lower().split()  # both act on ASCII alone
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [
-            digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())
-        ]
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, unsigned."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65536):
-        part = np.array(hashes[at : at + 65536], dtype="<u8")
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a text, unsigned."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -100,8 +107,13 @@ def _bucket_keys(fp: Column, radius: int, count: int) -> Column:
     return F.array(*keys)
 
 
-def forest(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, value) of a spanning forest of each group's links."""
+def forest(
+    values: np.ndarray, groups: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, value) of a spanning forest of each group's links; with alike, edges of places in values.
+
+    alike has the last word on two places within the radius; it is not asked about what is already connected.
+    """
     order = np.lexsort((values, groups))
     x, g = values[order].view(np.uint64), groups[order]
     n = len(x)
@@ -126,24 +138,29 @@ def forest(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndar
             i, j = i[near], j[near]
         if i.size:
             for a, b in zip(i.tolist(), j.tolist()):
+                at = order[a], order[b]
                 while root[a] != a:
                     a = root[a]
                 while root[b] != b:
                     b = root[b]
-                if a != b:
+                if a != b and (alike is None or alike(*at)):
                     root[max(a, b)] = min(a, b)
             while not np.array_equal(root, up := root[root]):
                 root = up
     leaf = np.nonzero(root != np.arange(n))[0]
-    signed = x.view(np.int64)
-    return signed[leaf], signed[root[leaf]]
+    ends = order if alike else x.view(np.int64)
+    return ends[leaf], ends[root[leaf]]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between the distinct values of column fp; together they connect what is linked."""
     n = distinct.count()
     keyed = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"), radius, block_count(n, radius))).alias("b"))
-    keyed = keyed.select("fp", "b.which", "b.key")
+    return bucket_links(keyed.select("fp", "b.which", "b.key"), radius)
+
+
+def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) that connect the fingerprints within the radius among those of one bucket (which, key)."""
     sizes = cut(
         keyed.groupBy("which", "key")
         .agg(F.count("*").alias("size"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import byte_bpe, decontamination, simhash
+from tarn.llm import byte_bpe, decontamination, near_dedup
 from tarn.llm import exact_dedup as exact
 from tarn.llm import quality as weak
 from tarn.llm.common import table
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash.kept(docs)
+    """One document of each component of near-duplicates: a Jaccard similarity of five-word shingles of 0.8 or more."""
+    return near_dedup.kept(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
