@@ -52,7 +52,9 @@ STOP_WORDS = frozenset(
     """.split()
 )
 #: Elements whose content is not text of the page (fixed values).
-RAW = ("script", "style", "template", "noscript", "textarea", "select", "svg", "math", "iframe", "object", "title", "head")
+RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "title")
+#: Elements that aren't text of the page either, but end at the next block-level tag if they are not closed (fixed values).
+INERT = ("select", "svg", "math", "object")
 #: Elements that hold no main text (fixed values).
 BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset header".split())
 MAIN = frozenset(("article", "main"))
@@ -61,6 +63,7 @@ BLOCK = frozenset(
     form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary
     table tbody td tfoot th thead tr ul""".split()
 )
+OPTIONS = frozenset(("optgroup", "option", "hr"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that name boilerplate (fixed values); an article may have a header of its own.
 HINT = re.compile(
@@ -72,6 +75,7 @@ HINT = re.compile(
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<inert>" + "|".join(INERT) + r")(?=[\s/>])(?:(?!<(?P=inert)[\s/>]).)*?</(?P=inert)(?=[\s/>])[^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<[!?/][^>]*>?"
     r"|(?P<text>[^<]+|<)",
@@ -131,6 +135,9 @@ def page_blocks(page: str) -> list[Block]:
             state["links"] = 0 if m["close"] else 1
         if name in BLOCK:
             flush()
+            if name not in OPTIONS and not m["close"]:
+                while any(t[0] in INERT for t in open_tags):
+                    open_tags.pop()
             state["links"] = 0 if name != "a" and m["close"] else state["links"]
         if m["close"]:
             if any(t[0] == name for t in open_tags):
@@ -139,6 +146,10 @@ def page_blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
+        if name in INERT:
+            if not m["rest"].endswith("/"):
+                open_tags.append((name, True, False))
+            continue
         inside = any(t[2] for t in open_tags)
         hinted = _hinted(m["rest"], inside)
         if name == "p":

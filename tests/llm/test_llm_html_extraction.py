@@ -87,3 +87,12 @@ def test_rows(spark, rows):
     assert sorted(repr(tuple(r)) for r in found) == sorted(
         repr((i, u, "é" if h and "é" in h else "", 1 if h and "é" in h else 0)) for i, u, h in rows
     )
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>x</title><body>", "<html><head><title>x</title><style>y</style><meta name=a>", "<head><link href=x><script>z</script>",
+    "<body><select><option>a<option>b", "<body><object data=x>a", "<body><svg><text>a", "<body><math><mi>a", "<body><svg/>",
+    "<body><select><option>a</select>", "<body><svg><svg>a</svg>b</svg>", "<body><object><p>a</p></object>",
+])
+def test_elements_without_a_closing_tag(before):
+    assert H.main_text(f"{before}<article><h1>A title</h1><p>{LONG}</p></article>") == "A title\n" + LONG.strip()
