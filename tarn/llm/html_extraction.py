@@ -4,7 +4,12 @@ A page is cut into blocks at its block-level tags. The first pass decides each
 block by what it is made of:
 
 - inside an element that is boilerplate by its name, role, class or id (menus,
-  headers, footers, sidebars, notices, adverts, forms, comments): bad;
+  headers, footers, sidebars, notices, adverts, forms, comments): bad. A class,
+  id or role says nothing about the page, an article or main part, or an element
+  that holds one, nor does the id of a heading or a name of a state (no-sidebar).
+  Words that also occur in names of content (legal, related) only count as bad if
+  they are a whole class or role; else they make the block ambiguous, unless it is
+  long and dense;
 - share of its characters inside links over LINKS_HIGH: bad;
 - long and dense in stop words: good; dense but shorter: good inside the main
   part, else ambiguous; long with few stop words: bad outside the main part; the
@@ -72,6 +77,14 @@ HINT = re.compile(
     r"|side|aside|widget|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter"
     r"|subscribe|signup|login|search|toolbar|skip|complementary|contentinfo)(?=$|[\s_-])"
 )
+#: Of these words, those that also name content, and names that tell a state (fixed values).
+WEAK = frozenset(
+    """alert banner consent copyright legal login notice promo recommended related replies respond search share sharing
+    side signup skip social subscribe""".split()
+)
+STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|on|off)$")
+PAGE = frozenset("html head body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
@@ -81,25 +94,57 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 STRIPPED = " .,;:!?\"'()[]{}|#$%&*"
 
 
+@dataclass
+class Tag:
+    """An open tag; hints are what its attributes say, which an article within it takes back."""
+
+    name: str
+    bad: bool = False
+    main: bool = False
+    hinted: bool = False
+    weak: bool = False
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    bad: bool
+    tags: list[Tag]
     main: bool
     label: bool | None = field(default=None)
 
+    @property
+    def bad(self) -> bool:
+        return any(t.bad or t.hinted for t in self.tags)
 
-def _hinted(rest: str, inside: bool) -> bool:
-    """Whether a tag's attributes name boilerplate; inside the main part, headers don't count."""
-    if "=" not in rest:
-        return False
-    named = " ".join(" ".join(x) for x in ATTRIBUTE.findall(rest)).lower()
-    return any(not (inside and m["header"]) for m in HINT.finditer(named))
+    @property
+    def weak(self) -> bool:
+        return any(t.weak for t in self.tags)
+
+
+def _hinted(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
+    """Whether a tag's attributes name boilerplate, surely and perhaps; inside the main part, headers don't count."""
+    if "=" not in rest or name in PAGE:
+        return False, False
+    sure = perhaps = False
+    for kind, *values in ATTRIBUTE.findall(rest):
+        kind = kind.lower()
+        if kind == "id" and name in HEADINGS:
+            continue
+        for token in "".join(values).lower().split():
+            if STATE.match(token):
+                continue
+            for m in HINT.finditer(token):
+                if inside and m["header"]:
+                    continue
+                word = m[0].strip("_-")
+                weak = word in WEAK and (kind == "id" or word != token)
+                sure, perhaps = sure or not weak, perhaps or weak
+    return sure, perhaps
 
 
 def page_blocks(page: str) -> list[Block]:
@@ -107,20 +152,20 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[str] = []
     state = {"linked": 0, "links": 0}
-    open_tags: list[tuple[str, bool, bool]] = []  # name, makes bad, makes main
+    open_tags: list[Tag] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                bad = any(t[1] for t in open_tags)
-                blocks.append(Block(text, state["linked"], bad, any(t[2] for t in open_tags)))
+                telling = [t for t in open_tags if t.bad or t.hinted or t.weak]
+                blocks.append(Block(text, state["linked"], telling, any(t.main for t in open_tags)))
             parts.clear()
         state["linked"] = 0
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            if any(bad and tag not in BLOCK for tag, bad, _ in open_tags):
+            if any((t.bad or t.hinted) and t.name not in BLOCK for t in open_tags):
                 continue  # boilerplate within a line, such as a share link
             parts.append(text)
             if state["links"]:
@@ -136,31 +181,34 @@ def page_blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             if name not in OPTIONS and not m["close"]:
-                while any(t[0] in INERT for t in open_tags):
+                while any(t.name in INERT for t in open_tags):
                     open_tags.pop()
             state["links"] = 0 if name != "a" and m["close"] else state["links"]
         if m["close"]:
-            if any(t[0] == name for t in open_tags):
-                while open_tags.pop()[0] != name:
+            if any(t.name == name for t in open_tags):
+                while open_tags.pop().name != name:
                     pass
             continue
         if name in VOID:
             continue
         if name in INERT:
             if not m["rest"].endswith("/"):
-                open_tags.append((name, True, False))
+                open_tags.append(Tag(name, bad=True))
             continue
-        inside = any(t[2] for t in open_tags)
-        hinted = _hinted(m["rest"], inside)
+        inside = any(t.main for t in open_tags)
+        hinted, weak = _hinted(name, m["rest"], inside)
+        if name in MAIN:
+            for t in open_tags:
+                t.hinted = t.weak = False
         if name == "p":
             # A paragraph ends where the next block begins, closed or not.
-            while open_tags and open_tags[-1][0] == "p":
+            while open_tags and open_tags[-1].name == "p":
                 open_tags.pop()
-        if hinted or name in BLOCK and name != "p":
-            if open_tags and open_tags[-1][0] == "p" and name in BLOCK:
+        if hinted or name in BLOCK and (weak or name != "p"):
+            if open_tags and open_tags[-1].name == "p" and name in BLOCK:
                 open_tags.pop()
-            bad = hinted or name in BOILERPLATE and not (name == "header" and inside)
-            open_tags.append((name, bad, name in MAIN))
+            bad = name in BOILERPLATE and not (name == "header" and inside)
+            open_tags.append(Tag(name, bad, name in MAIN, hinted, weak and name in BLOCK))
     flush()
     return blocks
 
@@ -171,6 +219,8 @@ def decide(block: Block) -> bool | None:
         return False
     words = [w.strip(STRIPPED) for w in block.text.lower().split()]
     density = sum(w in STOP_WORDS for w in words) / len(words)
+    if block.weak:
+        return True if len(block.text) >= LENGTH_HIGH and density >= STOP_HIGH else None
     if len(block.text) >= LENGTH_HIGH:
         if density >= STOP_HIGH:
             return True

@@ -96,3 +96,15 @@ def test_rows(spark, rows):
 ])
 def test_elements_without_a_closing_tag(before):
     assert H.main_text(f"{before}<article><h1>A title</h1><p>{LONG}</p></article>") == "A title\n" + LONG.strip()
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="no-sidebar"><article>{}</article>', '<body class="search"><div>{}</div>', '<html class="modal-open"><main id="widget">{}</main>',
+    '<div class="content has-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<article id="related">{}</article>',
+    '<div class="sidebar"><div><article>{}</article></div></div>', '<article><section id="legal-history">{}</section></article>',
+    '<article><section class="related-work">{}</section></article>',
+])
+def test_hints_do_not_condemn_content(page):
+    for heading in ('<h2>Related</h2>', '<h2 id="related-work">Related</h2>', '<h3 id="search">Related</h3>', '<h4 id="comments">Related</h4>'):
+        body = f"<p>{LONG}</p>{heading}<p>{LONG}</p>"
+        assert H.main_text(page.format(body)) == "\n".join([LONG.strip(), "Related", LONG.strip()])
