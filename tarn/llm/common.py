@@ -91,6 +91,20 @@ def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def bitmap(rows: DataFrame, number: Column, bits: int) -> bytes:
+    """Bits `number mod bits` of all rows; bits / 8 bytes however many rows there are. bits: a power of two from 32768 on."""
+    bit = F.pmod(number, F.lit(bits))
+    parts = (
+        rows.select(bit.alias("bit"))
+        .groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part"))
+        .agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("long")).alias("bits"))
+    )
+    out = bytearray(bits // 8)
+    for part, held in parts.collect():  # at most bits / 32768 rows of 4 KB
+        out[part * 4096 : part * 4096 + len(held)] = held
+    return bytes(out)
+
+
 def map_texts(
     df: DataFrame,
     fields: list[T.StructField],

@@ -14,6 +14,7 @@ from tarn.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -163,6 +164,54 @@ def op10_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_reduced_alphabet_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS entry),
+runs AS (
+  SELECT k, w, count(*) AS c FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[a-z\x{C0}-\x{FF}]+')) AS w
+    FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT w, c, flatten(list_transform(string_split(k || ':' || w, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT w, c, xor(list_reduce(b, lambda a, x: xor(a >> 8, entry[xor(a % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON words.word = rest
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON words.word = rest),
+best AS (
+  SELECT word, count(*) AS n_near, min({'a': -near_n, 'b': near}) AS best FROM near GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.a >= 10 * n THEN best.b END AS form,
+         CASE WHEN -best.a >= 10 * n THEN -best.a END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+path AS (
+  SELECT word, word AS last, 0 AS step FROM words
+  UNION ALL SELECT path.word, forms.form, step + 1 FROM path JOIN forms ON forms.word = path.last WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(last, step) AS root FROM path GROUP BY word) USING (word)
+"""
+
+
 def queries() -> dict:
     found = (
         op1_weak_label_quality,
@@ -175,6 +224,7 @@ def queries() -> dict:
         op8_polynomial_exact_dedup,
         op9_naive_bayes_ngram_toxicity,
         op10_merge_replay_bpe,
+        op12_reduced_alphabet_spelling,
     )
     return {f.__name__: f for f in found}
 
@@ -183,4 +233,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_suffix_automaton_decontamination": OP6_SQL,
         "op8_polynomial_exact_dedup": OP8_SQL,
+        "op12_reduced_alphabet_spelling": OP12_SQL,
     }

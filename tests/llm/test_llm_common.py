@@ -3,7 +3,7 @@ import pytest
 
 from tarn.llm import common, queries
 
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "embeddings")
 
 
 def test_blocks():
