@@ -17,6 +17,7 @@ from tarn.llm import (
     spelling,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from tarn.llm.common import table
 
@@ -164,6 +165,52 @@ def op10_merge_replay_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_orchard_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.codes(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_round(number: int) -> str:
+    """The assignment of all parts to the entries of a round; except for the last, the entries after it."""
+    near = f"""
+near{number} AS (
+  SELECT r, part, min({{'d': vv + cc - 2 * list_dot_product(v, c), 'entry': entry}}) AS best
+  FROM parts JOIN entries{number} USING (part) GROUP BY r, part)"""
+    if number == vector_codes.ROUNDS:
+        return near
+    return f"""{near},
+means{number} AS (
+  SELECT part, entry, list(mean ORDER BY place) AS c
+  FROM (SELECT part, best.entry AS entry, place, floor(sum(x) / count(*)) AS mean
+        FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS place FROM parts JOIN near{number} USING (r, part))
+        GROUP BY ALL)
+  GROUP BY part, entry),
+entries{number + 1} AS (
+  SELECT part, entry, coalesce(m.c, e.c) AS c, list_dot_product(coalesce(m.c, e.c), coalesce(m.c, e.c)) AS cc
+  FROM entries{number} e LEFT JOIN means{number} m USING (part, entry)),"""
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT r, part, v, list_dot_product(v, v) AS vv
+  FROM (SELECT r, part, list_slice(v, part * len(v) // 4 + 1, (part + 1) * len(v) // 4) AS v FROM kept, range(4) AS p(part))),
+entries0 AS (SELECT part, r - 1 AS entry, v AS c, vv AS cc FROM parts WHERE r <= 256),{"".join(map(_op11_round, range(vector_codes.ROUNDS + 1)))},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near{vector_codes.ROUNDS} GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS place FROM entries{vector_codes.ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
 def op12_reduced_alphabet_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -224,6 +271,7 @@ def queries() -> dict:
         op8_polynomial_exact_dedup,
         op9_naive_bayes_ngram_toxicity,
         op10_merge_replay_bpe,
+        op11_orchard_vector_codes,
         op12_reduced_alphabet_spelling,
     )
     return {f.__name__: f for f in found}
@@ -233,5 +281,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_suffix_automaton_decontamination": OP6_SQL,
         "op8_polynomial_exact_dedup": OP8_SQL,
+        "op11_orchard_vector_codes": OP11_SQL,
         "op12_reduced_alphabet_spelling": OP12_SQL,
     }
