@@ -10,6 +10,7 @@ from tarn.llm import (
     decontamination,
     exact_dedup,
     html_extraction,
+    licenses,
     quality,
     secrets,
     sharding,
@@ -259,6 +260,73 @@ FROM forms JOIN (SELECT word, arg_max(last, step) AS root FROM path GROUP BY wor
 """
 
 
+def op13_positional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x.base)
+
+    def listed(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: x.label))), ",")
+
+    starts = F.transform(base, lambda x: x.start)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x.score)), F.lit(0.0)).alias("score"),
+    )
+
+
+def _op13_templates() -> str:
+    """The templates as rows of SQL: label, base, words, first phrase, its place, and the other phrases."""
+
+    def listed(found):
+        return "[" + ", ".join(f"'{x}'" for x in found) + "]"
+
+    rows = []
+    for t in licenses.TEMPLATES:
+        (place, first), *others = t.phrases
+        more = ", ".join(f"{{'place': {p}, 'n': {len(w)}, 'text': ' {' '.join(w)} '}}" for p, w in others)
+        more = f"[{more}]" if more else "[]::STRUCT(place INTEGER, n INTEGER, text VARCHAR)[]"
+        rows.append(f"('{t.label}', {t.base}, {listed(t.words)}, {place}, {listed(first)}, {more})")
+    return ",\n  ".join(rows)
+
+
+OP13_SQL = rf"""
+WITH templates(label, base, body, place, first, more) AS (VALUES
+  {_op13_templates()}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+joined AS (SELECT r, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+places AS (
+  SELECT r, w, label, base, body, more, s - place AS start
+  FROM (SELECT *, unnest(range(len(w) - len(first) + 1)) AS s
+        FROM joined JOIN templates ON contains(line, ' ' || array_to_string(first, ' ') || ' '))
+  WHERE w[s + 1] = first[1] AND list_slice(w, s + 1, s + len(first)) = first),
+found AS (
+  SELECT r, label, base, start,
+         len(list_filter(range(len(body)), lambda k: start + k >= 0 AND w[start + k + 1] = body[k + 1])) / len(body) AS score
+  FROM places
+  WHERE len(list_filter(more, lambda p: NOT contains(' ' || array_to_string(list_slice(w,
+          greatest(0, start + p.place - {licenses.SLACK}) + 1, start + p.place + p.n + {licenses.SLACK}), ' ') || ' ', p.text))) = 0),
+by_row AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN by_row USING (r)
+"""
+
+
 def queries() -> dict:
     found = (
         op1_weak_label_quality,
@@ -273,6 +341,7 @@ def queries() -> dict:
         op10_merge_replay_bpe,
         op11_orchard_vector_codes,
         op12_reduced_alphabet_spelling,
+        op13_positional_license_scan,
     )
     return {f.__name__: f for f in found}
 
@@ -283,4 +352,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_polynomial_exact_dedup": OP8_SQL,
         "op11_orchard_vector_codes": OP11_SQL,
         "op12_reduced_alphabet_spelling": OP12_SQL,
+        "op13_positional_license_scan": OP13_SQL,
     }
