@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = sc.getCheckpointDir()
     if folder is None:
-        if not (sc.master or "").startswith("local["):
+        if not re.match(r"local(\[|$)", sc.master or ""):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
@@ -43,17 +45,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: For each open temporary(), the paths of the tables stored in it.
+_TEMPORARY: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """df, written once as a compressed table in the shared folder and read back.
 
-    For wide rows. The table stays, like any file of that folder.
+    For wide rows. The table goes with the innermost temporary() around the call,
+    or with the next one if it outlives that; without one it stays, like any file
+    of that folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    holders = _TEMPORARY[:-1] if outlives else _TEMPORARY
+    if holders:
+        holders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, by Spark's own file systems."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """What is stored within is deleted at the end; so nothing that is read later may depend on it."""
+    paths: list[str] = []
+    _TEMPORARY.append(paths)
+    try:
+        yield paths
+    finally:
+        _TEMPORARY.pop()
+        deleted(spark, paths)
+
+
+def unused(names: Iterable[str], wanted: str) -> str:
+    """wanted, or with underscores behind it, so that none of the names equals it; Spark doesn't tell cases apart."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs with a number for each row, stored so that the numbers hold in every pass, and the number's column."""
+    name = unused(docs.columns, "row_number")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
+def staying(rows: DataFrame, name: str, stay: DataFrame) -> DataFrame:
+    """The numbered rows whose number is in the column row of stay, without the number."""
+    return rows.join(stay.select(F.col("row").alias(name)), name, "left_semi").drop(name)
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -2,43 +2,67 @@
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard
 similarity of 0.8 or more, and linked texts form one component. Their
-fingerprints then differ in about 10 of 64 bits, and no block of bits needs to
-agree; so other keys say which pairs to look at:
-
-1. Texts with one set of shingles become one unit.
-2. A unit has BANDS keys, each of MIN_HASHES min-hashes of its set. Two units at
-   a similarity of 0.8 share none with a probability of 3e-6, less above.
-   Fingerprints of one bucket that lie within RADIUS are joined, as in simhash,
-   to loose groups: supersets of the components. RADIUS is wide: at 0.8 it is
-   passed with a probability of about 2e-6 for sets of five and 1e-8 for large ones.
-3. The texts of loose groups of two and more units are dealt into parts by the
-   number of their shingles, and each pair of parts is compared in one task:
-   pairs that the pivot table leaves are verified by the Jaccard similarity of
-   their sets (of 64-bit hashes), unless they are already connected.
-
-Defined cases are those of simhash: a null or blank text has the empty set, and
-all such texts are linked; a shorter text is one shingle.
+fingerprints then differ in about a sixth of the bits, and no block of bits needs
+to agree; so other keys say which pairs to look at:
+
+1. Texts with one set of shingles become one unit. A unit has BANDS keys, each of
+   MIN_HASHES min-hashes of its set. Two units at a similarity of 0.8 share none
+   with a probability of 3e-6, less above. Units that share no key with any other
+   are done; only the texts of the rest are looked at again.
+2. The shingles of those units are ordered by how many of the units hold them.
+   Of a set of n, the n - ceil(0.8 n) + 1 rarest are its prefix; sets with a
+   similarity of 0.8 have a common shingle in their prefixes. That is exact, and
+   texts that share only a template have none, as their own words are rarer.
+   Units that are connected by common shingles of prefixes form a loose group, a
+   superset of the components.
+3. Loose groups are verified, a group in a task. Pairs with a common shingle in
+   their prefixes, by the order within the task, that are not connected yet are
+   candidates. Their fingerprints have 64 * WORDS bits. A table of the distances
+   to pivots, members of the group, discards the pairs that differ by more than
+   RADIUS anywhere, as their fingerprints then do too; the distance itself discards
+   more. The rest is decided by the sets of 64-bit hashes. At 0.8, RADIUS is
+   passed with a probability of about 2e-7 for sets of four and five, and less than
+   1e-12 for large ones.
+4. A group with more shingles than PART_SHINGLES is dealt into parts that are
+   verified apart. The components found there are joined through one unit of
+   each, as far as these are linked. What is left is compared across components:
+   the largest one is dealt into parts, and the units outside it go to each of
+   them. So a large group of copies is sent about twice, and not to as many tasks
+   as it has parts.
+
+Defined cases: a null or blank text has the empty set, and all such texts are
+linked; a shorter text is one shingle. Of a component, the row with the smallest
+id stays, a null id last; of repeated rows, one. An empty table gives an empty
+result. All columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, map_texts, stored
-from tarn.llm.simhash import bucket_links, components, forest, majority, shingle_hashes
+from tarn.llm.common import blocks, id_and_text, map_texts, numbered, staying, stored, temporary
+from tarn.llm.simhash import components, shingle_hashes
 
-SHINGLE, RADIUS = 5, 26
+SHINGLE = 5
+#: A fingerprint's words of 64 bits, and how many of its bits may differ.
+WORDS, RADIUS = 16, 256
 #: The least Jaccard similarity, as a fraction.
 LEAST = (4, 5)
 BANDS, MIN_HASHES = 24, 4
-#: Units and shingles of a part, and shingles of a task.
-PART_UNITS, PART_SHINGLES, BIN_SHINGLES = 2048, 500_000, 2_000_000
+#: Shingles of a part of a loose group, and of the groups that are handed to a task at once.
+PART_SHINGLES, BIN_SHINGLES = 200_000, 200_000
+PIVOTS = 32
 BITMAP_BITS = 1 << 26
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * MIN_HASHES), dtype=np.uint64)
+_TURNS = np.random.default_rng(43).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
 _FACTORS, _TERMS, _MIX = _DRAW[0] | np.uint64(1), _DRAW[1], _DRAW[2] | np.uint64(1)
 
 
@@ -66,98 +90,308 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (least * _MIX).reshape(BANDS, MIN_HASHES).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS words for each non-empty set: the bits that are set in over half of its hashes, hashed anew for each word."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    hashes, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    out = np.zeros((len(sets), WORDS), dtype=np.uint64)
+    for word, turn in enumerate(_TURNS):
+        x = hashes * turn
+        x ^= x >> np.uint64(32)
+        x *= _TURNS[word - 1]
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        out[:, word] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _describe(texts: list[str]) -> dict[str, list]:
     import xxhash
 
     sets = [shingle_set(t) for t in texts]
     return {
-        "fp": np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64),
-        "same": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64),
+        "same": [xxhash.xxh128_digest(s.tobytes()) for s in sets],
         "size": [len(s) for s in sets],
         "keys": [band_keys(s).view(np.int64) for s in sets],
     }
 
 
 _FIELDS = [
-    T.StructField("fp", T.LongType()),
-    T.StructField("same", T.LongType()),
+    T.StructField("same", T.BinaryType()),
     T.StructField("size", T.LongType()),
     T.StructField("keys", T.ArrayType(T.LongType())),
 ]
 
 
-def _texts_of(rows: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """wanted with the texts of its rows; a bitmap of fixed size keeps other texts out of the shuffle."""
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table, so that plans start anew and Spark knows sizes; it goes when the stage's result is known."""
+    return stored(df, "near-dedup")
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, rows of (row, ...), with their texts; a bitmap of fixed size keeps other texts out of the shuffle."""
     place = F.pmod(F.xxhash64("row"), F.lit(BITMAP_BITS)).alias("place")
     part, bit = F.floor(F.col("place") / 32768).alias("part"), F.col("place") % 32768
-    bitmap = wanted.select(place).groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    bits = _written(wanted.select(place).groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits")))
     byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = (
-        id_and_text(rows, "__row", text_col)
-        .withColumnRenamed("id", "row")
-        .select("row", "text", place)
+        texts.select("row", "text", place)
         .withColumn("part", part)
-        .join(F.broadcast(bitmap), "part")
+        .join(F.broadcast(bits), "part")
         .where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1)
         .select("row", "text")
     )
     return found.join(wanted.hint("merge"), "row")
 
 
-def _verified_links(rows: DataFrame, units: DataFrame, text_col: str) -> DataFrame:
-    """Edges (u, v) between rows, one for each unit, that connect what is linked."""
-    keyed = units.select("fp", F.posexplode("keys").alias("which", "key"))
-    roots = components(bucket_links(keyed, RADIUS)).withColumnRenamed("u", "fp")
-    placed = units.join(roots, "fp", "left").select(
-        F.coalesce("root", "fp").alias("root"), F.col("first.row").alias("row"), "fp", "size"
-    )
-    placed = cut(placed)
-    several = cut(
-        placed.groupBy("root")
-        .agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-        .where("n > 1")
-        .select(
-            "root",
-            F.greatest(F.ceil(F.col("n") / PART_UNITS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts"),
-        )
+def prefix_length(size):
+    """How many of a set's rarest elements another set must meet to have the least similarity; for columns and arrays."""
+    up, down = LEAST
+    return size - (up * size + down - 1) // down + 1
+
+
+def _live(units: DataFrame) -> DataFrame:
+    """The rows of units that share a key with another one."""
+    keyed = units.select("row", F.posexplode("keys").alias("which", "key"))
+    shared = _written(keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return _written(keyed.join(shared, ["which", "key"]).select("row").distinct())
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(row, size, h): the distinct shingles of each text, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = batch.column("row"), batch.column("text")
+            for i, j in blocks(pc.binary_length(texts).to_pylist()):
+                sets = [shingle_set(t) for t in texts.slice(i, j - i).to_pylist()]
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(rows.slice(i, j - i).to_numpy(), sizes)),
+                        pa.array(np.repeat(sizes, sizes)),
+                        pa.array(np.concatenate(sets).view(np.int64)),
+                    ],
+                    ["row", "size", "h"],
+                )
+
+    return texts.select("row", "text").mapInArrow(run, "row long, size long, h long")
+
+
+def _prefixes(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """(row, h): the shingles of each live unit's prefix that another one holds."""
+    shingles = _written(_shingles(_texts_of(texts, live)))
+    shared = _written(shingles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    held = shingles.join(shared, "h").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
+    up, down = LEAST
+    # The shingles that no other unit holds come first.
+    alone = F.col("size") - F.size("held")
+    wanted = F.col("size") - F.floor((F.col("size") * up + (down - 1)) / down) + 1 - alone
+    first = F.slice("held", F.lit(1), F.greatest(F.lit(0), wanted).cast("int"))
+    return _written(held.select("row", F.explode(first).alias("x")).select("row", "x.h"))
+
+
+def _loose_groups(prefixes: DataFrame) -> DataFrame:
+    """(row, root) of the units that a common shingle in prefixes connects to others."""
+    least = _written(prefixes.groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("v")).where("n > 1").drop("n"))
+    edges = _written(prefixes.join(least, "h").select(F.col("row").alias("u"), "v").distinct())
+    roots = components(edges)
+    return roots.select(F.col("u").alias("row"), "root").unionByName(roots.select(F.col("root").alias("row"), "root").distinct())
+
+
+class Group:
+    """The members of a group in a task: non-empty sets, and who is connected."""
+
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray):
+        self.sets, self.fps, n = sets, fingerprints(sets), len(sets)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        first, self.root = np.unique(component, return_index=True, return_inverse=True)[1:]
+        self.root = first[self.root]
+        self.ones = first  # one member of each component
+        pivots = np.unique(np.linspace(0, n - 1, min(n, PIVOTS)).astype(np.int64))
+        self.table = np.stack([distances(self.fps, self.fps[p]) for p in pivots], axis=1).astype(np.int16)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.element, self.count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        self.mark = np.zeros(len(self.count), dtype=bool)
+        self.looked_at: dict[int, np.ndarray] = {}
+        self.seen = self.discarded = 0
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs sizes, pivots and fingerprints leave."""
+        up, down = LEAST
+        a, b = self.sizes[i], self.sizes[j]
+        left = down * np.minimum(a, b) >= up * np.maximum(a, b)
+        self.seen += (seen := int(left.sum()))
+        left[left] = np.abs(self.table[i[left]] - self.table[j[left]]).max(axis=1) <= RADIUS
+        self.discarded += seen - int(left.sum())
+        left[left] = distances(self.fps[i[left]], self.fps[j[left]]) <= RADIUS
+        return left
+
+    def _join(self, i: int, j: int) -> None:
+        x, y = self._find(i), self._find(j)
+        self.root[max(x, y)] = min(x, y)
+
+    def compare(self, i: int, others: np.ndarray) -> None:
+        """Link i to those of the others whose sets are alike; all their sets are gone through once."""
+        up, down = LEAST
+        sizes = self.sizes[others]
+        flat = np.repeat(self.starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        own = self.element[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.element[flat]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mark[own] = False
+        for j in others[down * both >= up * (self.sizes[i] + sizes - both)].tolist():
+            self._join(i, j)
+
+    def candidates(self) -> list[np.ndarray]:
+        """For each shingle that is in the prefixes of several members, those members, the smallest set first."""
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        element, count = self.element, self.count
+        order = np.lexsort((element, count[element], owner))
+        place = np.arange(len(owner)) - np.repeat(self.starts, self.sizes)
+        first = (place < np.repeat(prefix_length(self.sizes), self.sizes)) & (count[element[order]] > 1)
+        element, owner = element[order][first], owner[first]
+        order = np.lexsort((self.sizes[owner], element))
+        edges = np.flatnonzero(np.diff(element[order])) + 1
+        return [m for m in np.split(owner[order], edges) if len(m) > 1]
+
+    def _settle(self) -> None:
+        while not np.array_equal(self.root, up := self.root[self.root]):
+            self.root = up
+
+    def verified(self) -> list[tuple[int, int]]:
+        """(member, first member of its component) for a member of each component that was joined to another."""
+        found = self.candidates()
+        if found:
+            # Neighbours by size connect most of what is connected.
+            pairs = np.unique(np.concatenate([np.sort(np.stack((m[:-1], m[1:]), axis=1), axis=1) for m in found]), axis=0)
+            for i, j in pairs[self.near(pairs[:, 0], pairs[:, 1])].tolist():
+                if self._find(i) != self._find(j) and alike(self.sets[i], self.sets[j]):
+                    self._join(i, j)
+        for members in found:
+            # Then what is outside the largest component is compared with all that it isn't connected to.
+            self._settle()
+            root, inverse, count = np.unique(self.root[members], return_inverse=True, return_counts=True)
+            for i in members[root[inverse] != root[count.argmax()]].tolist():
+                done = self.looked_at.setdefault(i, np.zeros(len(self.sets), dtype=bool))
+                others = members[~done[members]]
+                others = others[self.root[others] != self._find(i)]
+                done[others] = True
+                others = others[self.near(np.full(len(others), i), others)]
+                if others.size:
+                    self.compare(i, others)
+        self._settle()
+        return [(i, r) for i, r in zip(self.ones.tolist(), self.root[self.ones].tolist()) if i != r]
+
+
+def _links(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what is linked within each group, from members (row, size, component, g)."""
+    members = _written(members)
+    bins = max(1, -(-(members.agg(F.sum("size")).first()[0] or 0) // BIN_SHINGLES))
+    grouped = _texts_of(texts, members).withColumn("bin", F.pmod(F.col("g"), F.lit(bins)))
+
+    def of_bin(found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in found.groupby("g", sort=False):
+            rows = rows.sort_values("row")
+            row = rows["row"].to_numpy()
+            group = Group([shingle_set(t) for t in rows["text"]], rows["component"].to_numpy())
+            out += [(row[a], row[b]) for a, b in group.verified()]
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return _written(grouped.groupBy("bin").applyInPandas(of_bin, "u long, v long"))
+
+
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the smallest row of their component, which is a member too."""
+    roots = components(links).withColumnsRenamed({"u": "row", "root": "least"})
+    return _written(
+        members.join(roots, "row", "left").withColumn("component", F.coalesce("least", "row")).drop("least")
     )
-    wanted = cut(placed.join(several, "root"))
-    total = wanted.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0
-    bins = max(1, -(-total // BIN_SHINGLES))
-    part = F.pmod(F.hash("row", F.lit(7)), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    grouped = (
-        _texts_of(rows, wanted, text_col)
-        .select("row", "fp", "text", "root", part.alias("part"), other.alias("other"))
-        .select("row", "fp", "text", F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("g"))
-        .withColumn("bin", F.pmod(F.col("g"), F.lit(bins)))
+
+
+def _parts(size):
+    return F.greatest(F.lit(1), F.ceil(size / PART_SHINGLES)).cast("int")
+
+
+def _part(parts, turn: int):
+    return F.pmod(F.xxhash64("row", F.lit(turn)), parts)
+
+
+def _verified_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges between rows that connect what is linked, from placed (row, root, size)."""
+    sizes = _written(placed.groupBy("root").agg(_parts(F.sum("size")).alias("parts")))
+    members = _written(placed.withColumn("component", F.col("row")).join(sizes, "root"))
+    links = _links(texts, members.withColumn("g", F.xxhash64("root", _part(F.col("parts"), 0))).drop("root", "parts"))
+    members = _written(members.where("parts > 1").drop("parts"))
+    turn = 1
+    while not members.isEmpty():
+        # One unit of each component of a group that was dealt into parts.
+        members = _joined(members, links)
+        ones = members.where("component = row")
+        sizes = _written(ones.groupBy("root").agg(_parts(F.sum("size")).alias("parts"), F.count("*").alias("n")).where("n > 1"))
+        ones = ones.join(sizes, "root")
+        more = _links(texts, ones.withColumn("g", F.xxhash64("root", _part(F.col("parts"), turn))).drop("root", "parts", "n"))
+        if more.isEmpty():
+            return links.unionByName(_links_across(texts, members.join(sizes.select("root"), "root", "left_semi")))
+        links, turn = _written(links.unionByName(more)), turn + 1
+    return links
+
+
+def _links_across(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges between components of one group, from members (row, root, size, component)."""
+    by = members.groupBy("root", "component").agg(F.sum("size").alias("all"))
+    largest = _written(by.groupBy("root").agg(F.max(F.struct("all", "component")).alias("most"), F.sum("all").alias("total")))
+    largest = largest.select(
+        "root", F.col("most.component").alias("large"), _parts(F.col("most.all")).alias("inner"), _parts(F.col("total") - F.col("most.all")).alias("outer")
     )
+    members = members.join(largest, "root")
+    inside = F.col("component") == F.col("large")
+    own = F.when(inside, _part(F.col("inner"), -1)).otherwise(_part(F.col("outer"), -2)).cast("int")
 
-    def of_bin(found: pd.DataFrame) -> pd.DataFrame:
-        sets, row = [shingle_set(t) for t in found["text"]], found["row"].to_numpy()
-        u, v = forest(
-            found["fp"].to_numpy(), found["g"].to_numpy(), RADIUS, lambda i, j: alike(sets[i], sets[j])
-        )
-        return pd.DataFrame({"u": row[u], "v": row[v]})
+    def every(parts: str):
+        return F.sequence(F.lit(0), F.col(parts) - 1)
 
-    return grouped.groupBy("bin").applyInPandas(of_bin, "u long, v long")
+    # A part of the largest component meets every outer part; outer parts meet each other too.
+    with_inner = F.transform(every("inner"), lambda i: F.xxhash64("root", F.lit("inner"), i, "own"))
+    with_outer = F.transform(every("outer"), lambda i: F.xxhash64("root", F.lit("outer"), F.least(i, "own"), F.greatest(i, "own")))
+    of_inner = F.transform(every("outer"), lambda i: F.xxhash64("root", F.lit("inner"), "own", i))
+    groups = F.when(inside, of_inner).otherwise(F.concat(with_inner, with_outer))
+    return _links(texts, members.withColumn("own", own).select("row", "size", "component", F.explode(groups).alias("g")))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of docs with the smallest id, with all its columns, for each component; of repeated rows, one."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near")
+    rows, number = numbered(docs, "near-dedup")
+    given = id_and_text(rows, id_col, text_col, number)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    units = cut(
-        map_texts(id_and_text(rows, id_col, text_col, "__row"), _FIELDS, lambda: _describe)
-        .groupBy("fp", "same")
-        .agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    )
-    roots = components(_verified_links(rows, units, text_col)).withColumnRenamed("u", "row")
-    stay = (
-        units.select("first", "first.row")
-        .join(roots, "row", "left")
-        .groupBy(F.coalesce("root", "row"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("__row"))
-    )
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    with temporary(docs.sparkSession):
+        units = _written(
+            map_texts(given, _FIELDS, lambda: _describe)
+            .groupBy("same")
+            .agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+            .select("first", F.col("first.row").alias("row"), "size", "keys")
+        )
+        texts = given.select("row", "text")
+        groups = _loose_groups(_prefixes(texts, _live(units)))
+        placed = _written(units.select("row", "size").join(groups, "row"))
+        roots = components(_verified_links(texts, placed)).withColumnRenamed("u", "row")
+        stay = (
+            units.select("first", "row")
+            .join(roots, "row", "left")
+            .groupBy(F.coalesce("root", "row"))
+            .agg(F.min("first").alias("first"))
+            .select(F.col("first.row").alias("row"))
+        )
+        stay = stored(stay, "near-dedup", outlives=True)
+    return staying(rows, number, stay)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, map_texts, stored
+from tarn.llm.common import cut, id_and_text, map_texts, numbered, staying, stored, temporary
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SPLIT, BIN_ROWS = 2048, 20_000
@@ -186,26 +186,33 @@ def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every u that has an edge and isn't itself the smallest of its component."""
+    """(u, root) for every u that has an edge and isn't itself the smallest of its component.
+
+    Each step is written as a table: plans start anew, and Spark knows sizes.
+    """
 
     def state(df):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    now = cut(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    )
-    before, after = None, state(now)
-    while before != after and after[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Cut apart, so that the join's sides are plain exchanges, of which Spark can split that of a hub.
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, after = after, state(now)
-    return now.withColumnRenamed("v", "root")
+    def written(df, outlives=False):
+        return stored(df, "components", outlives)
+
+    with temporary(edges.sparkSession):
+        now = written(
+            edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        )
+        before, after = None, state(now)
+        while before != after and after[0]:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # Written apart, so that the join's sides are plain exchanges, of which Spark can split that of a hub.
+            least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = written(large)
+            least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+            before, after = after, state(now)
+        return written(now.withColumnRenamed("v", "root"), outlives=True)
 
 
 def _rooted(rows: DataFrame, shingle: int, radius: int) -> DataFrame:
@@ -239,16 +246,13 @@ def kept(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """The row of docs with the smallest id, with all its columns, for each component; of repeated rows, one.
-
-    The rows are numbered and written once, so that the numbers hold in every pass.
-    """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash")
+    """The row of docs with the smallest id, with all its columns, for each component; of repeated rows, one."""
+    rows, number = numbered(docs, "simhash")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     stay = (
-        _rooted(id_and_text(rows, id_col, text_col, "__row"), shingle, radius)
+        _rooted(id_and_text(rows, id_col, text_col, number), shingle, radius)
         .groupBy("root")
         .agg(F.min(order).alias("first"))
-        .select(F.col("first.row").alias("__row"))
+        .select(F.col("first.row").alias("row"))
     )
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    return staying(rows, number, stay)

@@ -41,14 +41,24 @@ def some_texts(rng):
     return texts
 
 
+def copies(rng):
+    """A large group of near copies, a chain in which only neighbours are linked, and texts that share a template."""
+    base = [f"c{rng.randrange(3000)}" for _ in range(90)]
+    texts = [" ".join(edited(rng, base, 0.01)) for _ in range(120)]
+    line = [f"d{i}" for i in range(160)]
+    texts += [" ".join(line[i : i + 100]) for i in range(0, 60, 5)]
+    template = [f"e{i}" for i in range(40)]
+    return texts + [" ".join(template + [f"v{rng.randrange(9000)}" for _ in range(rng.choice((5, 20)))]) for _ in range(60)]
+
+
 def test_stage_equals_brute_force(spark, monkeypatch):
     """Also with loose groups that are split into many parts."""
-    rows = list(enumerate(some_texts(random.Random(5))))
+    rows = list(enumerate(some_texts(random.Random(5)) + copies(random.Random(15))))
     want = slow_kept(rows)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, fp int, row string")
     assert len(want) < len(rows) - 60
-    for units in (2048, 3):
-        monkeypatch.setattr(N, "PART_UNITS", units)
+    for shingles in (200_000, 1500):
+        monkeypatch.setattr(N, "PART_SHINGLES", shingles)
         found = simhash_near_dedup(spark, docs, "")
         assert found.columns == docs.columns
         assert sorted(r.doc_id for r in found.collect()) == want
@@ -57,15 +67,81 @@ def test_stage_equals_brute_force(spark, monkeypatch):
 def test_pairs_at_the_least_similarity_are_looked_at():
     """Sets with a similarity of exactly 0.8 share a key and lie within the radius."""
     rng = np.random.default_rng(6)
-    for size in (8, 40, 400):
+    for size in (4, 8, 40, 400):
         for _ in range(150):
             drawn = np.unique(rng.integers(0, 2**64, size * 10 // 8, dtype=np.uint64))
             cut = len(drawn) // 10
+            if not cut:
+                assert (N.distances(*N.fingerprints([drawn, drawn[1:]]))) <= N.RADIUS
+                continue
             mixed = rng.permutation(drawn)
             a, b = np.sort(mixed[cut:]), np.sort(np.concatenate((mixed[:cut], mixed[2 * cut :])))
             assert N.alike(a, b)
             assert (N.band_keys(a) == N.band_keys(b)).any()
-            assert (N.majority(a) ^ N.majority(b)).bit_count() <= N.RADIUS
+            assert N.distances(*N.fingerprints([a, b])) <= N.RADIUS
+
+
+def test_template_texts_are_not_compared(spark):
+    """All share two thirds of their words, and so keys, but no loose group holds them."""
+    rng, n = random.Random(2), 3000
+    template = " ".join(f"t{i}" for i in range(40))
+    rows = [(i, f"{template} " + " ".join(f"o{rng.randrange(10**8)}" for _ in range(20))) for i in range(n)]
+    texts = spark.createDataFrame(rows, "row long, text string")
+    units = N.map_texts(texts, N._FIELDS, lambda: N._describe)
+    live = N._live(units)
+    assert live.count() > n / 2
+    assert N._loose_groups(N._prefixes(texts, live)).count() == 0
+
+
+def test_a_group_is_compared_exactly_and_pivots_discard():
+    """Clusters that share rare shingles: all that is linked is connected, and pivots leave out most of the rest."""
+    rng = np.random.default_rng(3)
+    sets, passage = [], rng.integers(0, 2**64, 12, dtype=np.uint64)
+    for _ in range(4):
+        base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+        for _ in range(30):
+            own = rng.integers(0, 2**64, rng.integers(0, 60), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((rng.choice(base, rng.integers(240, 300), replace=False), own, passage))))
+    group = N.Group(sets, np.arange(len(sets)))
+    joined = group.verified()
+    want = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if N.alike(sets[i], sets[j]):
+                want[want == want[i]] = want[j] if want[j] < want[i] else want[i]
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+    parent = dict(joined)
+    found = [parent.get(i, i) for i in range(len(sets))]
+    assert len({(a, b) for a, b in zip(found, want.tolist())}) == len(set(found)) == len(set(want.tolist()))
+    i, j = np.triu_indices(len(sets), 1)
+    group.seen = group.discarded = 0
+    left = group.near(i, j)
+    print("pivots discard", group.discarded, "of", group.seen, "pairs; fingerprints leave", left.sum())
+    assert group.discarded > 0.3 * group.seen
+    assert all(left[k] for k, (a, b) in enumerate(zip(i, j)) if N.alike(sets[a], sets[b]))
+
+
+def test_recall_on_a_given_table(spark):
+    """All pairs of distinct texts at 0.8, by counting every common shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").groupBy("text").agg({"doc_id": "min"}).toDF("text", "doc_id")
+    texts = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    held, common = {}, {}
+    for i, found in texts.items():
+        for s in found:
+            held.setdefault(s, []).append(i)
+    for found in held.values():
+        found.sort()
+        for k, i in enumerate(found):
+            for j in found[k + 1 :]:
+                common[i, j] = common.get((i, j), 0) + 1
+    pairs = [(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(texts[i]) + len(texts[j]) - n)]
+    group = {i: i for i in texts}
+    for i, j in pairs:
+        a, b = group[i], group[j]
+        if a != b:
+            group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    assert len(pairs) >= 40
+    assert sorted(r.doc_id for r in simhash_near_dedup(spark, docs, "").select("doc_id").collect()) == sorted(set(group.values()))
 
 
 def test_odd_rows(spark):

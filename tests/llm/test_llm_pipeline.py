@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from test_llm_decontamination import slow_words
-from test_llm_simhash import slow_components, slow_fingerprint
+from test_llm_near_dedup import slow_kept
 
 import corpus_pipeline
 from tarn.llm import byte_bpe, quality
@@ -46,7 +46,7 @@ def brute_force(rows, items, model):
     rows = [(i, t) for _, i, t in map(min, groups.values())]
     left.append({i for i, _ in rows})
     text = dict(rows)
-    rows = [(i, text[i]) for i, _, c in slow_components([(i, slow_fingerprint(t)) for i, t in rows]) if i == c]
+    rows = [(i, text[i]) for i in slow_kept(rows)]
     left.append({i for i, _ in rows})
     windows = set()
     for t in items:
