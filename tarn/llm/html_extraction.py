@@ -13,20 +13,26 @@ block by what it is made of:
 - share of its characters inside links over LINKS_HIGH: bad;
 - long and dense in stop words: good; dense but shorter: good inside the main
   part, else ambiguous; long with few stop words: bad outside the main part; the
-  rest is ambiguous.
+  rest is ambiguous. On a page that hardly has the listed stop words, as it is in
+  another language, density says nothing: long blocks are good.
 
 The second pass gives every ambiguous block the label of the nearest decided
 blocks before and after it among those of the same part of the page (the
 article, or what is outside); where they differ, the nearer one counts. In a
 tie, and without a decided neighbour, the part itself counts: an article is
-good, the rest bad.
+good, the rest bad. Where articles hold at least half of the good text, what is
+outside of them goes; else they are teasers, and all good text stays.
 
 Scripts, styles, comments and other raw elements are never text. White space
 inside a block becomes one space; blocks are joined by one line feed.
 
+A page is read once, in time that grows with its length, whatever its tags.
+
 Defined cases: a null or empty page, or one without main text, gives an empty
-string. Unclosed tags, comments and references, and stray signs are read as
-browsers do, as near as a page without a tree allows. Rows, repeated ones too,
+string. Unclosed elements (paragraphs, list items, cells, rows, options) end where
+browsers end them, and unfinished tags, comments and references and stray signs
+are read as browsers do, as near as a page without a tree allows; where a quote
+that is not closed would swallow the rest of the page, tags end at the next >. Rows, repeated ones too,
 stay as they are; an empty table gives an empty result. No page or block is
 cut. Other columns are not read.
 """
@@ -45,6 +51,8 @@ from tarn.llm.common import column, map_texts
 
 LENGTH_LOW, LENGTH_HIGH = 40, 140
 STOP_LOW, STOP_HIGH = 0.1, 0.2
+#: Share of listed stop words below which a page is in another language.
+STOP_PAGE = 0.03
 LINKS_HIGH = 0.5
 
 #: Frequent words of the languages at hand (fixed values).
@@ -85,15 +93,34 @@ WEAK = frozenset(
 STATE = re.compile(r"(?:no|not|has|have|with|without|is|hide|show)[_-]|.*[_-](?:open|opened|closed|enabled|disabled|on|off)$")
 PAGE = frozenset("html head body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<inert>" + "|".join(INERT) + r")(?=[\s/>])(?:(?!<(?P=inert)[\s/>]).)*?</(?P=inert)(?=[\s/>])[^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<[!?/][^>]*>?"
-    r"|(?P<text>[^<]+|<)",
-    re.IGNORECASE | re.DOTALL,
-)
+#: Elements that a start tag ends if they are open, unless one of the second kind is open within them (fixed values).
+_CELL, _ROW = (("td", "th"), ("tr", "table")), (("tr",), ("table",))
+ENDED = {
+    **dict.fromkeys(("li",), [(("li",), ("ul", "ol", "menu", "dir"))]),
+    **dict.fromkeys(("dt", "dd"), [(("dt", "dd"), ("dl",))]),
+    **dict.fromkeys(("td", "th"), [_CELL]),
+    **dict.fromkeys(("tr",), [_ROW, _CELL]),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), [(("thead", "tbody", "tfoot"), ("table",)), _ROW, _CELL]),
+    **dict.fromkeys(("option", "optgroup"), [(("option",), ("select",))]),
+}
+
+
+def _token(rest: str, end: str) -> re.Pattern:
+    """No part of it is tried at more than a few places of a page: what follows < ends with the page at the latest."""
+    return re.compile(
+        r"<!--(?:>|->|.*?(?:--!?>|\Z))"
+        r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]).*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+        r"|<(?P<inert>" + "|".join(INERT) + r")(?=[\s/>])(?:(?!<(?P=inert)[\s/>]).)*?</(?P=inert)(?=[\s/>])[^>]*+(?:>|\Z)"
+        r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>" + rest + ")(?:>|" + end + ")"
+        r"|<[!?/][^>]*+>?"
+        r"|(?P<text>[^<]++|<)",
+        re.IGNORECASE | re.DOTALL,
+    )
+
+
+#: Quoted values may hold a >; a tag that would so take the rest of the page is read by LOOSE, and so are those behind it.
+STRICT = _token(r"""(?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+""", r"(?P<open>\Z)")
+LOOSE = _token(r"[^>]*+", r"\Z")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 STRIPPED = " .,;:!?\"'()[]{}|#$%&*"
 
@@ -107,23 +134,75 @@ class Tag:
     main: bool = False
     hinted: bool = False
     weak: bool = False
+    outer: Tag | None = None  # the next open tag around it that says something
+    any_bad: bool = False  # of itself and those around it, known at the page's end
+    any_weak: bool = False
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    tags: list[Tag]
+    tag: Tag | None  # the innermost open one that says something
     main: bool
     label: bool | None = field(default=None)
 
     @property
     def bad(self) -> bool:
-        return any(t.bad or t.hinted for t in self.tags)
+        return self.tag is not None and self.tag.any_bad
 
     @property
     def weak(self) -> bool:
-        return any(t.weak for t in self.tags)
+        return self.tag is not None and self.tag.any_weak
+
+
+class OpenTags:
+    """The open tags, with what has to be known of them at each token."""
+
+    def __init__(self):
+        self.tags: list[Tag] = []
+        self.places: dict[str, list[int]] = {}  # of each name
+        self.telling: list[Tag] = []  # those open that say something
+        self.all_telling: list[Tag] = []
+        self.main = self.inert = self.inline = 0  # open main parts, inert elements and boilerplate within a line
+
+    def push(self, tag: Tag) -> None:
+        self.places.setdefault(tag.name, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.main += tag.main
+        self.inert += tag.name in INERT
+        self.inline += (tag.bad or tag.hinted) and tag.name not in BLOCK
+        if tag.bad or tag.hinted or tag.weak:
+            tag.outer = self.telling[-1] if self.telling else None
+            self.telling.append(tag)
+            self.all_telling.append(tag)
+
+    def pop(self) -> Tag:
+        tag = self.tags.pop()
+        self.places[tag.name].pop()
+        self.main -= tag.main
+        self.inert -= tag.name in INERT
+        self.inline -= (tag.bad or tag.hinted) and tag.name not in BLOCK
+        if self.telling and self.telling[-1] is tag:
+            self.telling.pop()
+        return tag
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open tag of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def end(self, names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """End the innermost of these, if none of `within` is open inside it."""
+        at = self.last(names)
+        if at > self.last(within):
+            while len(self.tags) > at:
+                self.pop()
+
+    def take_back_hints(self) -> None:
+        for tag in self.telling:
+            self.inline -= tag.hinted and not tag.bad and tag.name not in BLOCK
+            tag.hinted = tag.weak = False
+        self.telling = [t for t in self.telling if t.bad]
 
 
 def _hinted(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
@@ -151,25 +230,26 @@ def page_blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     blocks: list[Block] = []
     parts: list[str] = []
-    state = {"linked": 0, "links": 0}
-    open_tags: list[Tag] = []
+    linked = links = at = 0
+    tags, token = OpenTags(), STRICT
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                telling = [t for t in open_tags if t.bad or t.hinted or t.weak]
-                blocks.append(Block(text, state["linked"], telling, any(t.main for t in open_tags)))
+                blocks.append(Block(text, linked, tags.telling[-1] if tags.telling else None, tags.main > 0))
             parts.clear()
-        state["linked"] = 0
 
-    for m in TOKEN.finditer(page):
+    while at < len(page):
+        m = token.match(page, at)
+        if token is STRICT and m["open"] is not None and ">" in m[0]:
+            token = LOOSE
+            m = token.match(page, at)
+        at = m.end()
         if (text := m["text"]) is not None:
-            if any((t.bad or t.hinted) and t.name not in BLOCK for t in open_tags):
-                continue  # boilerplate within a line, such as a share link
-            parts.append(text)
-            if state["links"]:
-                state["linked"] += len(text)
+            if not tags.inline:  # else boilerplate within a line, such as a share link
+                parts.append(text)
+                linked += len(text) if links else 0
             continue
         if m["name"] is None:
             continue
@@ -177,51 +257,61 @@ def page_blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            state["links"] = 0 if m["close"] else 1
+            links = 0 if m["close"] else 1
         if name in BLOCK:
             flush()
+            linked = 0
             if name not in OPTIONS and not m["close"]:
-                while any(t.name in INERT for t in open_tags):
-                    open_tags.pop()
-            state["links"] = 0 if name != "a" and m["close"] else state["links"]
+                while tags.inert:
+                    tags.pop()
+            links = 0 if m["close"] else links
         if m["close"]:
-            if any(t.name == name for t in open_tags):
-                while open_tags.pop().name != name:
-                    pass
+            tags.end((name,))
             continue
         if name in VOID:
             continue
         if name in INERT:
             if not m["rest"].endswith("/"):
-                open_tags.append(Tag(name, bad=True))
+                tags.push(Tag(name, bad=True))
             continue
-        inside = any(t.main for t in open_tags)
+        for ended, within in ENDED.get(name, ()):
+            tags.end(ended, within)
+        inside = tags.main > 0
         hinted, weak = _hinted(name, m["rest"], inside)
         if name in MAIN:
-            for t in open_tags:
-                t.hinted = t.weak = False
+            tags.take_back_hints()
         if name == "p":
             # A paragraph ends where the next block begins, closed or not.
-            while open_tags and open_tags[-1].name == "p":
-                open_tags.pop()
+            while tags.tags and tags.tags[-1].name == "p":
+                tags.pop()
         if hinted or name in BLOCK and (weak or name != "p"):
-            if open_tags and open_tags[-1].name == "p" and name in BLOCK:
-                open_tags.pop()
+            if tags.tags and tags.tags[-1].name == "p" and name in BLOCK:
+                tags.pop()
             bad = name in BOILERPLATE and not (name == "header" and inside)
-            open_tags.append(Tag(name, bad, name in MAIN, hinted, weak and name in BLOCK))
+            tags.push(Tag(name, bad, name in MAIN, hinted, weak and name in BLOCK))
     flush()
+    for tag in tags.all_telling:  # outer ones first
+        tag.any_bad = tag.bad or tag.hinted or (tag.outer is not None and tag.outer.any_bad)
+        tag.any_weak = tag.weak or (tag.outer is not None and tag.outer.any_weak)
     return blocks
 
 
-def decide(block: Block) -> bool | None:
-    """The first pass: good, bad or ambiguous."""
+def stop_words(block: Block) -> tuple[int, int]:
+    """How many of a block's words are listed stop words, and how many words there are."""
+    words = [w.strip(STRIPPED) for w in block.text.lower().split()]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def decide(block: Block, density: float | None) -> bool | None:
+    """The first pass: good, bad or ambiguous. density: the block's share of stop words, None if it says nothing."""
     if block.bad or block.linked > LINKS_HIGH * len(block.text):
         return False
-    words = [w.strip(STRIPPED) for w in block.text.lower().split()]
-    density = sum(w in STOP_WORDS for w in words) / len(words)
+    long = len(block.text) >= LENGTH_HIGH
+    if density is None:
+        return True if long else None
     if block.weak:
-        return True if len(block.text) >= LENGTH_HIGH and density >= STOP_HIGH else None
-    if len(block.text) >= LENGTH_HIGH:
+        return True if long and density >= STOP_HIGH else None
+    if long:
         if density >= STOP_HIGH:
             return True
         return None if density >= STOP_LOW or block.main else False
@@ -233,8 +323,10 @@ def decide(block: Block) -> bool | None:
 def main_text(page: str) -> str:
     """The main text of a page."""
     blocks = page_blocks(page)
-    for b in blocks:
-        b.label = decide(b)
+    counts = [(0, 1) if b.bad else stop_words(b) for b in blocks]
+    known = sum(n for n, _ in counts) >= STOP_PAGE * sum(n for b, (_, n) in zip(blocks, counts) if not b.bad)
+    for b, (stops, words) in zip(blocks, counts):
+        b.label = decide(b, stops / words if known else None)
     for main in (True, False):
         part = [b for b in blocks if b.main == main and not b.bad]
         decided = [i for i, b in enumerate(part) if b.label is not None]
@@ -245,11 +337,9 @@ def main_text(page: str) -> str:
             if b.label is None:
                 near = [decided[k] for k in (before, before + 1) if 0 <= k < len(decided)]
                 b.label = part[min(near, key=lambda k: (abs(k - i), part[k].label != main))].label if near else main
-        if main and any(b.label for b in part):
-            for b in blocks:  # a page with an article has its main text there
-                b.label = bool(b.label) and b.main
-            break
-    return "\n".join(b.text for b in blocks if b.label)
+    good = {main: sum(len(b.text) for b in blocks if b.label and b.main == main) for main in (True, False)}
+    alone = good[True] > 0 and good[True] >= good[False]
+    return "\n".join(b.text for b in blocks if b.label and (b.main or not alone))
 
 
 def extracted(

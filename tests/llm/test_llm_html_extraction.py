@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -108,3 +109,40 @@ def test_hints_do_not_condemn_content(page):
     for heading in ('<h2>Related</h2>', '<h2 id="related-work">Related</h2>', '<h3 id="search">Related</h3>', '<h4 id="comments">Related</h4>'):
         body = f"<p>{LONG}</p>{heading}<p>{LONG}</p>"
         assert H.main_text(page.format(body)) == "\n".join([LONG.strip(), "Related", LONG.strip()])
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<table><tr><td class="sidebar">menu<td>{}</table>', "{}"), ('<ul><li class="ad">buy<li>{}</ul>', "{}"),
+    ('<dl><dt class="promo">buy<dd>{}</dl>', "{}"), ('<table><tr class=menu><td>a<td>b<tr><td>{}</table>', "{}"),
+    ('<table><tbody class=nav><tr><td>a<tbody><tr><td>{}</table>', "{}"),
+    ('<ul><li class="ad">buy<ul><li>{}</ul></ul>', ""), ('<li class="ad"><div><li>{}', "{}"), ("<select><option>a<option>b</select><div>{}</div>", "{}"),
+    ('<div><p class="advert">x<table><tr><td>{}</table></div>', "{}"), ('<a title="x>y" href=z>b</a><div>{}</div>', "{}"),
+    ('<a title="x>y</a><div>{}</div>', "{}"), ("<div>{}</div><a href=x", "{}"), ('<div>{}</div><a b="', "{}"),
+])
+def test_elements_end_where_browsers_end_them(page, want):
+    assert H.main_text(f"<body>{page.format(LONG)}</body>") == want.format(LONG.strip())
+
+
+def test_a_teaser_article_is_not_the_page():
+    story = f"<div>{LONG}</div>" * 4
+    assert H.main_text(f"<article><h2>Teaser</h2><p>{LONG}</p></article>{story}") == "\n".join(["Teaser"] + [LONG.strip()] * 5)
+    assert H.main_text(f"{story}<article>{f'<p>{LONG}</p>' * 5}</article>") == "\n".join([LONG.strip()] * 5)
+
+
+@pytest.mark.parametrize("text", ["В нижней части города жили рыбаки и торговцы, которые каждое утро приходили к реке. " * 3, "城市的下游住着渔民和商人他们每天早晨来到河边" * 9])
+def test_other_languages(text):
+    menu = "".join(f"<li><a href=/{i}>Раздел {i}</a>" for i in range(6))
+    page = f"<body><nav>{menu}</nav><ul>{menu}</ul><div><div>{text}</div><h2>Река</h2><div>{text}</div></div><footer>{text}</footer></body>"
+    assert H.main_text(page) == "\n".join([text.strip(), "Река", text.strip()])
+
+
+@pytest.mark.parametrize("piece", [
+    "<a", "<a ", '<a "', '<a "b>"', "<a 'b>\"", "<div>", "<div>x", "<div class=ad>x", "<td>", "<tr><td>x", "<li>x", "<li><ul>x", "<article>", "<div class=ad><article>x",
+    "<svg>", "<svg><math>", "</svg ", "<script", "<script>", "</script ", "<select><option>", "<span class=share>x", "<!--", "<!", "</", "<p class=ad>x", "<a href=x>y", "&", "&amp", "<b><i>x</b>",
+])
+def test_any_markup_takes_linear_time(piece):
+    """A megabyte of it; also behind many open elements, and with the closing tag of another."""
+    for page in (piece * (1_000_000 // len(piece)), "<div>" * 50_000 + "<li><ul>" + piece * (500_000 // len(piece)), (piece + "</td></li></em>") * 30_000):
+        start = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - start < 10
