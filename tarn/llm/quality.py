@@ -12,12 +12,14 @@ it repeats itself. The scorer decides, also where labellers abstain or disagree.
 
 Patterns of votes are counted over all documents; as there are at most 3 to the
 number of labellers, the counts that reach the driver are bounded. The scorer
-is fitted on at most about FIT_ROWS documents taken by a hash of id and text.
+is fitted on at most about FIT_ROWS documents, taken one by one by a hash of their
+row numbers, so that a hot id or text comes as often as others.
 
 Defined cases: a null, empty or blank text has nothing to keep and gets quality
-0. Null ids, repeated rows and very long texts are scored as they stand, whole.
-An empty table gives an empty result. Other columns are not read, and pass
-through `kept`.
+0. Null ids, repeated rows and very long texts and words are scored as they stand,
+whole; how many words are distinct is counted within successive windows of a text.
+An empty table gives an empty result. Other columns are not read, and pass through
+`kept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +30,23 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, kept_in_worker, map_texts
+from tarn.llm.common import column, cut, id_and_text, kept_in_worker, map_texts, stored, unused
 from tarn.llm.linear import fit_logistic, probability
 
 SIZE = 1 << 12
 FIT_ROWS, RIDGE = 20_000, 1e-5
 THRESHOLD = 0.5
 KEPT_WORDS = 400_000
+#: Words of so many characters are read each time, and not remembered.
+LONG_WORD = 64
+#: Words of a window within which a text's words are distinct or not.
+WINDOW = 1000
 #: Weak prior of the labellers' accuracy, as counts of right and wrong votes.
 PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
 EM_ROUNDS = 60
@@ -72,7 +79,7 @@ class Traits:
 def shape(word: str) -> str:
     """Letters, capitals and digits as a, A and 0, other characters as they are; repeats once, with a +."""
     out, last, more = [], "", False
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             out.append(kind)
@@ -83,6 +90,11 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def distinct_share(words: list[str]) -> float:
+    """The share of words that are new within their window of WINDOW words, so that long texts are judged like short ones."""
+    return sum(len({*words[i : i + WINDOW]}) for i in range(0, len(words), WINDOW)) / len(words)
+
+
 class Reader:
     """Takes the traits of texts; remembers what it knows of words."""
 
@@ -99,11 +111,13 @@ class Reader:
         run = len(word) > 1 and last == word[-2] and not last.isalnum() and last != "."
         plain = (word[:-1] if last in ".,;:!?" else word).isalpha() and (letters == 1 or not word[1:].isupper())
         form = shape(word)
+        if len(word) < LONG_WORD:
+            form = self.shapes.setdefault(form, form)
         found = (
-            self.shapes.setdefault(form, form), symbols, letters, sum(map(str.isupper, word)), alnum == 0, run, plain,
+            form, symbols, letters, sum(map(str.isupper, word)), alnum == 0, run, plain,
             last in ".!?", len(word),
         )
-        if len(word) < 64:
+        if len(word) < LONG_WORD:
             self.known[word] = found
         return found
 
@@ -135,7 +149,7 @@ class Reader:
             symbols=symbols / chars,
             capitals=capitals / letters if letters else 0.0,
             doubled=sum(map(eq, words, words[1:])) / n,
-            distinct=len(counts) / n,
+            distinct=distinct_share(words),
             bare=bare / n,
             runs=runs / n,
             plain=plain / n,
@@ -158,7 +172,7 @@ def votes(t: Traits) -> str:
             _between(t.symbols, 0.03, 0.08) if some else NOTHING,
             _between(t.capitals, 0.25, 0.6) if some else NOTHING,
             _between(t.doubled, 0.03, 0.2) if t.n >= 8 else NOTHING,
-            _between(-t.distinct, -0.4, -0.2) if many and t.n < 1500 else NOTHING,
+            _between(-t.distinct, -0.4, -0.2) if many else NOTHING,
             _between(t.bare, 0.03, 0.15) if some else NOTHING,
             _between(t.runs, 0.02, 0.2) if some else NOTHING,
             _between(-t.plain, -0.85, -0.6) if some else NOTHING,
@@ -256,11 +270,14 @@ def _describe(texts: list[str]) -> dict[str, list]:
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, votes, features, and a place in the order of the sample; kept without lineage."""
-    rows = id_and_text(docs, id_col, text_col)
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "text"), F.lit(_PLACES)))
+    rows = id_and_text(docs, id_col, text_col).withColumn("place", _place())
     return cut(map_texts(rows, _FIELDS, lambda: _describe))
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_PLACES))
+
+
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The label model of all described rows, and the scorer that its posteriors give."""
     rows = rows.where("votes IS NOT NULL")
@@ -314,19 +331,26 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
     return found.withColumn("kept", F.col("score") >= THRESHOLD)
 
 
-def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the scorer doesn't reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def kept(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that a scorer fitted on docs doesn't reject.
+
+    Texts are read once: docs are stored with what labellers and features see in
+    them, and the scorer reads that.
+    """
+    taken = [*docs.columns]
+    names = {n: unused(taken, n) for n in ("place", *(f.name for f in _FIELDS))}
 
-    def make():
-        model = shared.value
+    def describe(texts: list[str]) -> dict[str, list]:
+        return {names[n]: found for n, found in _describe(texts).items()}
 
-        def work(texts):
-            found = _describe(texts)
-            rows = zip(found["votes"], found["index"], found["value"])
-            return {"__score": [model.score(i, np.float32(v)) if p else 0.0 for p, i, v in rows]}
+    fields = [T.StructField(names[f.name], f.dataType) for f in _FIELDS]
+    rows = stored(map_texts(docs.withColumn(names["place"], _place()), fields, lambda: describe, text_col, keep_text=True), "quality")
+    model = fit(rows.select(*[column(own).alias(n) for n, own in names.items()]), fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        return work
+    @F.pandas_udf("double")
+    def score(index: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(i, v) for i, v in zip(index, value)], dtype=float)
 
-    found = map_texts(docs, [T.StructField("__score", T.DoubleType())], make, text_col, keep_text=True)
-    return found.where(F.col("__score") >= THRESHOLD).select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+    scored = score(column(names["index"]), column(names["value"]))
+    return rows.where(column(names["votes"]).isNotNull()).where(scored >= THRESHOLD).select(*map(column, docs.columns))

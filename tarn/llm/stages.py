@@ -18,7 +18,7 @@ from tarn.llm.common import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, fitted on docs, does not reject."""
-    return weak.kept(docs, weak.fit(weak.described(docs)))
+    return weak.kept(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
