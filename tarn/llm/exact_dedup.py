@@ -20,7 +20,7 @@ Spark splits.
 Defined cases: a null text counts as empty, and all empty texts are equal. A
 null id comes after every other id in ties. Of repeated rows with one id,
 exactly one is kept. An empty table gives an empty result. Other columns are
-not read.
+not read, and pass through `kept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import cut, id_and_text, map_texts, stored
+from tarn.llm.common import bitmap, blocks, cut, id_and_text, map_texts, numbered, staying, stored, temporary
 
 #: (prime, base): primes below 2^31, so that a product of two residues fits 62 bits.
 MODULI = ((2147483647, 1000003), (2147483629, 69069))
 CHUNK = 1024
+#: Chunks that are hashed at once; their numbers take eight times their bytes.
+SLICE = 1024
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 FINGERPRINT = ("n_bytes", "h1", "h2")
 #: Bits of the bitmap of repeated fingerprints (8 MB).
@@ -62,24 +64,42 @@ def joined(left: int, right: int, right_length: int, prime: int, base: int) -> i
     return (left * pow(base, right_length, prime) + right) % prime
 
 
+def fingerprint(body: bytes, prime: int, base: int) -> int:
+    """The fingerprint of one body, joined from those of slices of SLICE chunks; the first chunk is the short one."""
+    head = len(body) % CHUNK
+    first = np.frombuffer(body[:head].rjust(CHUNK, b"\0"), dtype=np.uint8).reshape(1, CHUNK)
+    value = int(chunk_fingerprints(first, prime, base)[0])
+    chunks = np.frombuffer(body, dtype=np.uint8, offset=head).reshape(-1, CHUNK)
+    shift = pow(base, CHUNK, prime)
+    for at in range(0, len(chunks), SLICE):
+        part, own = chunks[at : at + SLICE], 0
+        for c in chunk_fingerprints(part, prime, base).tolist():
+            own = (own * shift + c) % prime
+        value = joined(value, own, len(part) * CHUNK, prime, base)
+    return value
+
+
 def fingerprints(bodies: list[bytes], moduli=MODULI) -> list[list[int]]:
-    """For each modulus, the fingerprint of every body."""
-    counts = [max(1, -(-len(b) // CHUNK)) for b in bodies]
-    # The first chunk of a body is the short one; zeros on its left change nothing.
-    matrix = np.frombuffer(
-        b"".join(b.rjust(n * CHUNK, b"\0") for b, n in zip(bodies, counts)), dtype=np.uint8
-    ).reshape(-1, CHUNK)
+    """For each modulus, the fingerprint of every body; short bodies side by side, a long one in slices."""
+    short = [b for b in bodies if len(b) <= SLICE * CHUNK]
+    counts = [max(1, -(-len(b) // CHUNK)) for b in short]
     out = []
     for prime, base in moduli:
-        chunks = chunk_fingerprints(matrix, prime, base).tolist()
-        shift, at, found = pow(base, CHUNK, prime), 0, []
-        for n in counts:
-            value = 0
-            for c in chunks[at : at + n]:
-                value = (value * shift + c) % prime
-            found.append(value)
-            at += n
-        out.append(found)
+        shift, found = pow(base, CHUNK, prime), []
+        for i, j in blocks(counts, SLICE):
+            # The first chunk of a body is the short one; zeros on its left change nothing.
+            matrix = np.frombuffer(
+                b"".join(b.rjust(n * CHUNK, b"\0") for b, n in zip(short[i:j], counts[i:j])), dtype=np.uint8
+            ).reshape(-1, CHUNK)
+            chunks, at = chunk_fingerprints(matrix, prime, base).tolist(), 0
+            for n in counts[i:j]:
+                value = 0
+                for c in chunks[at : at + n]:
+                    value = (value * shift + c) % prime
+                found.append(value)
+                at += n
+        of_short = iter(found)
+        out.append([next(of_short) if len(b) <= SLICE * CHUNK else fingerprint(b, prime, base) for b in bodies])
     return out
 
 
@@ -108,11 +128,11 @@ def _describe(moduli):
     return lambda: work
 
 
-def _bodies(moduli, bitmap):
+def _bodies(moduli, hits):
     """Fingerprints, and the bodies whose fingerprint may occur more than once."""
 
     def make():
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        bits = np.frombuffer(hits.value, dtype=np.uint8)
 
         def work(texts):
             bodies = [normalised(t) for t in texts]
@@ -131,20 +151,6 @@ def _bodies(moduli, bitmap):
     return make
 
 
-def _bitmap(repeated: DataFrame) -> bytes:
-    """Bits h1 mod BITMAP_BITS of the given fingerprints: BITMAP_BITS / 8 bytes however many they are."""
-    bit = F.col("h1") % F.lit(BITMAP_BITS)
-    parts = (
-        repeated.select(bit.alias("bit"))
-        .groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("part"))
-        .agg(F.bitmap_construct_agg((F.col("bit") % 32768).cast("long")).alias("bits"))
-    )
-    out = bytearray(BITMAP_BITS // 8)
-    for part, bits in parts.collect():  # at most BITMAP_BITS / 32768 rows of 4 KB
-        out[part * 4096 : part * 4096 + len(bits)] = bits
-    return bytes(out)
-
-
 def _differing(members: DataFrame) -> DataFrame:
     """The members whose body differs from the smallest body of their fingerprint."""
     # Stored apart, so that the join's sides are plain exchanges, of which Spark can split a hot one.
@@ -174,27 +180,28 @@ def exact_groups(
     """
     rows = id_and_text(docs, id_col, text_col)
     longs = [T.StructField(n, T.LongType()) for n in ("n_points", *FINGERPRINT)]
-    numbered = id_and_text(docs, id_col, text_col, row=row_col or F.monotonically_increasing_id())
-    known = cut(map_texts(numbered, [*longs, T.StructField("text_sha256", T.StringType())], _describe(moduli)))
+    given = id_and_text(docs, id_col, text_col, row=row_col or F.monotonically_increasing_id())
+    known = cut(map_texts(given, [*longs, T.StructField("text_sha256", T.StringType())], _describe(moduli)))
     spark = docs.sparkSession
     repeated = known.groupBy(*FINGERPRINT).agg(F.count("*").alias("n")).where("n > 1")
-    bitmap = spark.sparkContext.broadcast(_bitmap(repeated))
-    members = stored(
-        map_texts(
-            rows.select("text"), [*longs[1:], T.StructField("body", T.BinaryType())], _bodies(moduli, bitmap)
-        ).where("body IS NOT NULL"),
-        "exact-dedup",
-    )
+    hits = spark.sparkContext.broadcast(bitmap(repeated, F.col("h1"), BITMAP_BITS))
     known = known.withColumn("round", F.lit(0))
-    turn, left = 1, cut(_differing(members))
-    while not left.isEmpty():
-        found = left.select(*FINGERPRINT, F.sha2("body", 256).alias("text_sha256")).distinct()
-        known = cut(
-            known.join(found.withColumn("again", F.lit(turn)), [*FINGERPRINT, "text_sha256"], "left")
-            .withColumn("round", F.coalesce("again", "round"))
-            .drop("again")
+    with temporary(spark):  # what is known of the rows does not depend on the bodies
+        members = stored(
+            map_texts(
+                rows.select("text"), [*longs[1:], T.StructField("body", T.BinaryType())], _bodies(moduli, hits)
+            ).where("body IS NOT NULL"),
+            "exact-dedup",
         )
-        turn, left = turn + 1, cut(_differing(left))
+        turn, left = 1, cut(_differing(members))
+        while not left.isEmpty():
+            found = left.select(*FINGERPRINT, F.sha2("body", 256).alias("text_sha256")).distinct()
+            known = cut(
+                known.join(found.withColumn("again", F.lit(turn)), [*FINGERPRINT, "text_sha256"], "left")
+                .withColumn("round", F.coalesce("again", "round"))
+                .drop("again")
+            )
+            turn, left = turn + 1, cut(_differing(left))
     same_text = [*FINGERPRINT, "round"]
     order = F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id"), F.col("row"))
     groups = cut(known.groupBy(*same_text).agg(F.count("*").alias("group_size"), F.min(order).alias("first")))
@@ -210,10 +217,9 @@ def exact_groups(
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each group of equal texts.
-
-    The rows are numbered and written once, so that the numbers hold in every pass.
-    """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-dedup")
-    stay = exact_groups(rows, id_col, text_col, "__row").where("kept").select(F.col("row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    """One row of docs, with all its columns, for each group of equal texts."""
+    rows, number = numbered(docs, "exact-dedup")
+    with temporary(docs.sparkSession):
+        stay = exact_groups(rows, id_col, text_col, number).where("kept").select("row")
+        stay = stored(stay, "exact-dedup", outlives=True)
+    return staying(rows, number, stay)
