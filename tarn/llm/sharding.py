@@ -11,7 +11,7 @@ row counts. Then three steps give every row its place:
 2. exchange: the run of partition p starts in shard s behind those of the
    partitions before p, so every row knows its index in the shard;
 3. permute again: that index is sent through a permutation of the shard, which
-   gives its slot, and the rows are dealt out by shard and slot.
+   gives its slot, and each run of SLOTS_A_TASK slots of a shard is a partition.
 
 Both permutations are swap-or-not networks: each round maps x to k - x or
 leaves it, as a hash of the pair decides. That is a permutation of 0..n-1 for
@@ -23,8 +23,8 @@ passes see the same partitions, also when an executor is lost in between. Only
 the partitions' counts reach the driver.
 
 Law `rows`: shards' row counts differ by at most one; shard sizes and slots are
-exact. All columns pass through; `shard` and `slot` replace columns of those
-names. Null ids and texts and repeated rows are rows like any others. An empty
+exact. All other columns pass through, whatever their names; `shard` and `slot`
+replace columns of those names. Null ids and texts and repeated rows are rows like any others. An empty
 table gives an empty result.
 """
 
@@ -34,14 +34,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import stored
+from tarn.llm.common import column, stored
 
 ROUNDS = 40
 SLOTS_A_TASK = 10_000
 #: Runs that may be broadcast, of some 50 bytes each: enough for 100,000 partitions and 8 shards.
 BROADCAST_RUNS = 1_000_000
-_WHERE = "__partition"
-_INDEX = "__index"
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -95,44 +93,43 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     """docs with shard (0..shards-1) and slot (0.. without gaps in each shard), dealt out in that order."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    columns = docs.columns
-    # The id of a row holds its partition in the upper bits and its index there in the lower 33.
-    number = F.monotonically_increasing_id()
-    rows = stored(docs.withColumn(_INDEX, number), "sharding")
-    rows = rows.withColumn(_WHERE, F.shiftrightunsigned(_INDEX, 33)).withColumn(
-        _INDEX, F.col(_INDEX).bitwiseAND(F.lit((1 << 33) - 1))
+    # A row goes as one value, so that no column of it can clash. The number of a row holds its partition in the
+    # upper bits and its index there in the lower 33.
+    whole = F.struct(*map(column, docs.columns)) if docs.columns else F.struct(F.lit(None).alias("none"))
+    rows = stored(docs.select(whole.alias("doc"), F.monotonically_increasing_id().alias("number")), "sharding")
+    rows = rows.select(
+        "doc",
+        F.shiftrightunsigned("number", 33).alias("part"),
+        F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("index"),
     )
-    counts = sorted(tuple(r) for r in rows.groupBy(_WHERE).agg(F.count("*")).collect())  # one row a partition
+    counts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.count("*")).collect())  # one row a partition
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     sizes = [sum(line[s] for line in matrix) for s in range(shards)]
     plan, before = [], [0] * shards
-    for (where, count), line in zip(counts, matrix):
+    for (part, count), line in zip(counts, matrix):
         start = 0
         for s in range(shards):
-            plan.append((where, count, s, start, start + line[s], before[s], sizes[s]))
+            plan.append((part, count, s, start, start + line[s], before[s], sizes[s]))
             start, before[s] = start + line[s], before[s] + line[s]
     # A row for each partition: its count, and its runs.
     runs = (
-        spark.createDataFrame(
-            plan, f"{_WHERE} long, n long, shard int, start long, stop long, before long, size long"
-        )
+        spark.createDataFrame(plan, "part long, n long, shard int, start long, stop long, before long, size long")
         .where("stop > start")
-        .groupBy(_WHERE, "n")
+        .groupBy("part", "n")
         .agg(F.collect_list(F.struct("shard", "start", "stop", "before", "size")).alias("runs"))
     )
     if len(plan) <= BROADCAST_RUNS:
         runs = F.broadcast(runs)  # else a join on the partitions, none of which holds many rows
-    local = permuted(F.col(_INDEX), F.col("n"), F.col(_WHERE), seed)
     placed = (
-        rows.join(runs, _WHERE)
-        .withColumn("at", local)
+        rows.join(runs, "part")
+        .withColumn("at", permuted(F.col("index"), F.col("n"), F.col("part"), seed))
         .withColumn("run", F.filter("runs", lambda r: (r.start <= F.col("at")) & (F.col("at") < r.stop))[0])
         .withColumn("slot", F.col("at") - F.col("run.start") + F.col("run.before"))
     )
     slot = permuted(F.col("slot"), F.col("run.size"), -1 - F.col("run.shard").cast("long"), seed)
-    tasks = sum(-(-n // SLOTS_A_TASK) for n in sizes) or 1
-    return (
-        placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns], "run.shard", slot.alias("slot"))
-        .repartition(max(tasks, shards), "shard", F.floor(F.col("slot") / SLOTS_A_TASK))
-        .sortWithinPartitions("shard", "slot")
-    )
+    chunks = [-(-n // SLOTS_A_TASK) for n in sizes]
+    first = F.array(*[F.lit(sum(chunks[:s])) for s in range(shards)])
+    dealt = placed.select("doc", "run.shard", slot.alias("slot"))
+    chunk = F.get(first, F.col("shard")) + F.floor(F.col("slot") / SLOTS_A_TASK)
+    dealt = dealt.repartitionById(max(1, sum(chunks)), chunk.cast("int")).sortWithinPartitions("slot")
+    return dealt.select("doc.*", "shard", "slot") if docs.columns else dealt.select("shard", "slot")
