@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import id_and_text, map_texts, stored
+from tarn.llm.common import column, id_and_text, map_texts, stored, unused
 
 WINDOW = 10
 ITEM_WORDS = 200_000
@@ -44,12 +44,12 @@ _IN_WORD = [0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(2
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if _IN_WORD[b] else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-_FIELDS = [
-    T.StructField("__n_words", T.LongType()),
-    T.StructField("__longest", T.LongType()),
-    T.StructField("__spans", _SPANS),
-    T.StructField("__items", T.ArrayType(T.StringType())),
-]
+_FIELDS = {
+    "n_words": T.LongType(),
+    "longest": T.LongType(),
+    "spans": _SPANS,
+    "items": T.ArrayType(T.StringType()),
+}
 
 
 def words(text: str) -> list[bytes]:
@@ -179,9 +179,12 @@ def _parts(items: DataFrame, id_col: str, text_col: str, part_words: int) -> Ite
 
 def _marked(
     docs: DataFrame, items: DataFrame, text_col: str, item_cols: tuple[str, str], window: int, part_words: int, keep_text: bool
-) -> DataFrame:
-    """docs with __n_words, __longest, __spans and __items."""
+) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of _FIELDS, and the names that these have among the columns of docs."""
     spark, parts = docs.sparkSession, _parts(items, *item_cols, part_words)
+    names = {n: unused(docs.columns, n) for n in _FIELDS}
+    earlier = {n: unused([*docs.columns, *names.values()], f"{n}_before") for n in _FIELDS}
+    fields = [T.StructField(names[n], kind) for n, kind in _FIELDS.items()]
     last = next(parts)
     seen = 0
     while last is not None:
@@ -192,7 +195,7 @@ def _marked(
             automaton = shared.value
 
             def work(texts):
-                out = {f.name: [] for f in _FIELDS}
+                out = {name: [] for name in names.values()}
                 for text in texts:
                     found = words(text)
                     longest, spans, held = automaton.scan(found)
@@ -202,21 +205,22 @@ def _marked(
 
             return work
 
-        before = [f.name for f in _FIELDS] if seen else []
-        docs = docs.withColumnsRenamed({n: f"{n}_before" for n in before})
-        docs = map_texts(docs, _FIELDS, make, text_col, keep_text=keep_text or last is not None)
-        if before:
+        if seen:
+            docs = docs.withColumnsRenamed({names[n]: earlier[n] for n in names})
+        docs = map_texts(docs, fields, make, text_col, keep_text=keep_text or last is not None)
+        if seen:
+            both = {n: (column(names[n]), column(earlier[n])) for n in names}
             docs = docs.withColumns(
                 {
-                    "__longest": F.greatest("__longest", "__longest_before"),
-                    "__spans": F.concat("__spans", "__spans_before"),
-                    "__items": F.array_union("__items", "__items_before"),
+                    names["longest"]: F.greatest(*both["longest"]),
+                    names["spans"]: F.concat(*both["spans"]),
+                    names["items"]: F.array_union(*both["items"]),
                 }
-            ).drop(*[f"{n}_before" for n in before])
+            ).drop(*earlier.values())
         if last is not None:
             docs = stored(docs, "decontamination")
         seen += 1
-    return docs
+    return docs, names
 
 
 def _covered(spans: Column) -> Column:
@@ -240,14 +244,14 @@ def contamination(
     part_words: int = ITEM_WORDS,
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, longest (match), spans (of hit words), items (ids, sorted as strings)."""
-    rows = _marked(id_and_text(docs, id_col, text_col), items, "text", item_cols, window, part_words, False)
+    rows, _ = _marked(id_and_text(docs, id_col, text_col), items, "text", item_cols, window, part_words, False)
     return rows.select(
         "id",
-        F.col("__n_words").alias("n_words"),
-        _covered(F.col("__spans")).alias("n_hit"),
-        F.col("__longest").alias("longest"),
-        F.array_sort("__spans").alias("spans"),
-        F.array_sort("__items").alias("items"),
+        "n_words",
+        _covered(F.col("spans")).alias("n_hit"),
+        "longest",
+        F.array_sort("spans").alias("spans"),
+        F.array_sort("items").alias("items"),
     )
 
 
@@ -275,15 +279,15 @@ def decontaminated(
     A document of whose words a larger share than `coverage` is hit goes as a
     whole; with 0 every document with a hit does. Clean texts stay as they are.
     """
-    names = docs.columns
-    rows = _marked(docs, items, text_col, item_cols, window, part_words, True)
-    rows = rows.where(_covered(F.col("__spans")) <= F.col("__n_words") * F.lit(coverage))
+    rows, names = _marked(docs, items, text_col, item_cols, window, part_words, True)
+    spans = column(names["spans"])
+    rows = rows.where(_covered(spans) <= column(names["n_words"]) * F.lit(coverage))
 
     @F.udf(T.StringType(), useArrow=True)
     def cut_out(text, spans):
         return without_words(text, [(s[0], s[1]) for s in spans]) if spans else text
 
-    text = F.col("`" + text_col.replace("`", "``") + "`")
+    text = column(text_col)
     if coverage > 0:
-        text = cut_out(text, F.col("__spans"))
-    return rows.withColumn(text_col, text).select(*["`" + n.replace("`", "``") + "`" for n in names])
+        text = cut_out(text, spans)
+    return rows.withColumn(text_col, text).select(*map(column, docs.columns))
