@@ -6,8 +6,9 @@ words, scaled by the feature's naive Bayes log-count ratio: the logarithm of
 how much more often toxic training texts hold it than others, smoothed toward
 equality. Ratios are counted over all training rows. Features whose ratio lies
 within DULL of zero say nothing and are left out. A logistic regression on the
-scaled features is fitted on at most about FIT_ROWS training rows, taken by a
-hash of their ids, and gives the weights.
+scaled features is fitted on at most about FIT_ROWS training rows with about
+FIT_ENTRIES features, taken one by one by a hash of ids and row numbers, so that a
+hot id comes as often as others, and gives the weights.
 
 So a text's score is a sum over its distinct words; a block of texts hashes the
 n-grams of its distinct words together.
@@ -35,13 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import blocks, column, cut, id_and_text, map_texts
+from tarn.llm.common import blocks, column, cut, id_and_text, map_texts, stored, temporary
 from tarn.llm.linear import fit_logistic, probability
 
 ORDERS = (3, 4, 5, 6)
 SIZE = 1 << 18
 SMOOTHING, DULL = 30.0, 1.0
-FIT_ROWS, RIDGE, ROUNDS = 20_000, 1e-4, 1000
+FIT_ROWS, FIT_ENTRIES = 20_000, 30_000_000
+RIDGE, ROUNDS = 1e-4, 1000
 FOLDS = 5
 BITMAP_BITS = 1 << 26
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,7 +104,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of the rows to learn from.
+    """(id, text, row, label) of the rows to learn from; row is a number.
 
     A bitmap of the labelled ids, of BITMAP_BITS at most, goes to the scan of
     the texts, so that hardly any other text is shuffled to the labels.
@@ -118,13 +120,13 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     bitmap = known.select(place).groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = (
-        id_and_text(docs, id_col, text_col)
+        id_and_text(docs, id_col, text_col, F.monotonically_increasing_id())
         .where(~held_out(F.col("id")))
-        .select("id", "text", place)
+        .select("id", "text", "row", place)
         .withColumn("part", part)
         .join(F.broadcast(bitmap), "part")
         .where(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1)
-        .select("id", "text")
+        .select("id", "text", "row")
     )
     return rows.join(known.hint("merge"), "id")
 
@@ -208,8 +210,14 @@ def fit(
         T.StructField("index", T.ArrayType(T.IntegerType())),
         T.StructField("value", T.ArrayType(T.FloatType())),
     ]
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(places)) < wanted)
-    sample = map_texts(chosen, fields, describe).toArrow().sort_by("id")
+    chosen = F.pmod(F.xxhash64("id", "row"), F.lit(places))
+    sample = map_texts(rows.withColumn("place", chosen).where(F.col("place") < wanted), fields, describe)
+    with temporary(docs.sparkSession):
+        sample = stored(sample, "toxicity")
+        entries = sample.agg(F.sum(F.size("index"))).first()[0] or 0
+        if entries > FIT_ENTRIES:
+            sample = sample.where(F.col("place") < max(1, wanted * FIT_ENTRIES // entries))
+        sample = sample.toArrow().sort_by([("id", "ascending"), ("row", "ascending")])
     index = sample.column("index").combine_chunks()
     starts = np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy(zero_copy_only=False))))
     values = sample.column("value").combine_chunks().flatten().to_numpy().astype(np.float64)
