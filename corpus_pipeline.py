@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import stored, table
+from tarn.llm.common import deleted, stored, table, temporary
 from tarn.llm.stages import (
     benchmark_decontamination,
     byte_bpe_encoding,
@@ -30,10 +30,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage kept is written once and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what a stage kept is written once and read by the next.
+
+    Tables that a stage needed are deleted when its own is written, and that one
+    when the next is. Only the input of the last stage stays, as the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = stored(docs, "pipeline")
+        if number == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with temporary(spark) as used:
+            docs = stored(stage(spark, docs, sf_dir), "pipeline")
+            own = [used.pop()]  # the stage's table is the last one written
+        deleted(spark, before)
+        before = own
     return docs
