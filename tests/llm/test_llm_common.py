@@ -1,5 +1,8 @@
+from pathlib import Path
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import common, queries
 
@@ -28,3 +31,31 @@ def test_query_equals_sql(spark, name, sf):
 def test_every_query_has_its_number():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.queries())
     assert numbers == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_names_that_no_column_has():
+    assert common.unused(["a", "b"], "c") == "c"
+    assert common.unused(["C", "c_"], "c") == "c__"
+
+
+def test_tables_go_with_what_they_were_stored_for(spark):
+    def tables():
+        return {p.name for p in Path(common.shared_folder(spark).removeprefix("file:")).glob("gone-*")}
+
+    before = tables()
+    with common.temporary(spark):
+        with common.temporary(spark):
+            common.stored(spark.range(3), "gone")
+            stays = common.stored(spark.range(5), "gone", outlives=True)
+            assert len(tables() - before) == 2
+        assert len(tables() - before) == 1 and stays.count() == 5
+    assert tables() == before
+    common.stored(spark.range(2), "gone")
+    assert len(tables() - before) == 1
+
+
+def test_bitmap(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 65535, 65536 + 9, -1]
+    bits = common.bitmap(spark.createDataFrame([(n,) for n in numbers], "n long"), F.col("n"), 65536)
+    assert len(bits) == 8192
+    assert {i for i in range(65536) if bits[i >> 3] >> (i & 7) & 1} == {n % 65536 for n in numbers}

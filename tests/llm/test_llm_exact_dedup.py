@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -67,3 +68,29 @@ def test_streaming_comparison():
     a = b"x" * (3 * n)
     assert X.same(a, bytes(a)) and X.same(b"", b"")
     assert not X.same(a, a[:-1]) and not X.same(a, a[:-1] + b"y") and not X.same(a, b"y" + a[1:])
+
+
+@pytest.mark.parametrize("size", [0, 1, 1023, 1024, 1025, 1024 * 1024, 1024 * 1024 + 1, 3 * 1024 * 1024 + 5])
+def test_a_fingerprint_is_that_of_the_whole_number(size):
+    """Short, long and sliced bodies, alone and beside others."""
+    body = random.Random(size).randbytes(size)
+    want = [0, 0]
+    for b in body[: 1 << 20] if size <= 1025 else b"":
+        want = [(w * base + b) % prime for w, (prime, base) in zip(want, X.MODULI)]
+    if size > 1025:
+        half = size // 3
+        a, b = X.fingerprints([body[:half]]), X.fingerprints([body[half:]])
+        want = [X.joined(x[0], y[0], size - half, prime, base) for x, y, (prime, base) in zip(a, b, X.MODULI)]
+    assert [f[0] for f in X.fingerprints([body])] == want
+    assert [f[1] for f in X.fingerprints([b"x" * 5000, body, b"", b"yy"])] == want
+
+
+def test_a_long_text_takes_little_memory():
+    """Below six times the text, which is there already."""
+    text = "some words of it " * 1_200_000
+    work = X._describe(X.MODULI)()
+    tracemalloc.start()
+    work([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(text)

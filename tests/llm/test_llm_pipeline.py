@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from pathlib import Path
 
 import public_tokenizers as P
@@ -9,7 +10,7 @@ from test_llm_decontamination import slow_words
 from test_llm_near_dedup import slow_kept
 
 import corpus_pipeline
-from tarn.llm import byte_bpe, quality
+from tarn.llm import byte_bpe, common, decontamination, quality, sharding, simhash
 
 LIBRARY = tiktoken.Encoding(
     "own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={}
@@ -103,17 +104,50 @@ def test_odd_documents(spark, tmp_path, empty):
     assert got == ([] if empty else [3, 6, 7, None, None])
 
 
-def test_stages_keep_extra_columns(spark, tmp_path):
+#: Names that the operators use for themselves, now or before.
+TAKEN = (
+    "row_number ROW row id text_ place votes index value __score __row __index __partition __n_words __longest __spans __items n_words longest spans"
+    " items n_words_before spans_before n part at run runs slot_ number doc h size h1 h2 n_bytes body again round key which same keys first fp u v root"
+    " component g bin score kept c0 c1 `a.b`"
+).split()
+
+
+def with_taken_names(spark, texts):
+    names = [n for n in TAKEN if n.lower() not in ("row",)] + ["ROW"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) + tuple(-777 - k for k in range(len(names))) for i, t in enumerate(texts)], COLUMNS + "".join(f", {n} int" for n in names))
+    return docs, sorted((i, *(-777 - k for k in range(len(names)))) for i in range(len(texts))), len(names)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Their values too, not only their names."""
     rng = random.Random(10)
-    docs = spark.createDataFrame(
-        [(i, prose(rng, 90), "en", "a", 1, "x", 2, [3]) for i in range(6)],
-        COLUMNS + ", fp string, `a.b` int, row array<int>",
-    )
+    docs, want, n = with_taken_names(spark, [prose(rng, 90) for _ in range(6)])
     sf = write(tmp_path, spark, [(1, "x", "en", "a", 1)], [(1, "some item")])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, sf)
         assert kept.columns == docs.columns, name
-        assert kept.count() == 6, name
+        assert sorted((r[0], *r[-n:]) for r in kept.collect()) == want, name
+    assert stage is not None and simhash.kept(docs).columns == docs.columns
+    assert sorted((r[0], *r[-n:]) for r in simhash.kept(docs).collect()) == want
+    dealt = sharding.shard_rows(docs, 3)
+    assert dealt.columns == [*docs.columns, "shard", "slot"]
+    assert sorted((r[0], *r[-n - 2 : -2]) for r in dealt.collect()) == want
+
+
+def test_parts_of_items_keep_columns_of_any_name(spark):
+    docs, want, n = with_taken_names(spark, ["alpha beta gamma delta " * 9, "one two three four five six seven eight nine ten eleven"])
+    items = spark.createDataFrame([(k, f"item number {k} of many that are here in parts and more") for k in range(30)], "item_id long, text string")
+    kept = decontamination.decontaminated(docs, items, coverage=0.0, part_words=60)
+    assert kept.columns == docs.columns and sorted((r[0], *r[-n:]) for r in kept.collect()) == want
+
+
+def test_one_table_is_left_behind(spark):
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    tables = lambda: {p for p in folder.iterdir() if re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", p.name)}
+    before = tables()
+    found = corpus_pipeline.run(spark, SF)
+    assert [p.name.rpartition("-")[0] for p in tables() - before] == ["pipeline"]
+    assert found.count() > 100
 
 
 def test_no_stage_is_missing():

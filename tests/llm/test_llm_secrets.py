@@ -82,3 +82,17 @@ def test_query_equals_brute_force(spark):
         assert r.spans == ",".join(brute_force(text[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k + ":") for s in base) for k, *_ in BASE)
+
+
+def test_the_parser_of_expressions_is_the_one_that_this_was_written_for():
+    """The trigram queries are derived from the parse trees of Python's own, private parser: these shapes must hold."""
+    from re import _constants as sre
+    from re import _parser
+
+    tree = list(_parser.parse(r"(ab|c)[0-9a]+x?"))
+    assert [op for op, _ in tree] == [sre.SUBPATTERN, sre.MAX_REPEAT, sre.MAX_REPEAT]
+    branches = list(tree[0][1][-1])
+    assert branches[0][0] is sre.BRANCH and [len(list(b)) for b in branches[0][1][1]] == [2, 1]
+    least, most, inside = tree[1][1]
+    assert (least, most) == (1, sre.MAXREPEAT) and list(inside)[0][0] is sre.IN
+    assert [op for op, _ in list(inside)[0][1]] == [sre.RANGE, sre.LITERAL]

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,7 +32,19 @@ def test_sizes_and_slots_are_exact(spark, rows, shards):
 def test_query(spark):
     found = op2_hypergeometric_sharding(spark, "/root/testdata/sf0.001").collect()
     assert sorted(Counter(r.shard for r in found).values()) == [25] * 8
-    assert all(r.size >= 1 and 0 <= r.text_crc32 < 2**32 for r in found)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in found} == {
+        i: (len(t) + 1, zlib.crc32(t), "rows", None) for i, t in texts.items()
+    }
+
+
+def test_a_run_of_slots_is_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLOTS_A_TASK", 7)
+    found = S.shard_rows(spark.range(100), 3).withColumn("task", F.spark_partition_id()).collect()
+    tasks = {}
+    for r in found:
+        tasks.setdefault(r.task, []).append((r.shard, r.slot // 7))
+    assert len(tasks) == sum(-(-n // 7) for n in (34, 33, 33)) and all(len({*v}) == 1 for v in tasks.values())
 
 
 def test_hypergeometric_law():

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tarn.llm import simhash as S
+from tarn.llm.queries import op7_pivot_simhash
 
 
 def slow_fingerprint(text, shingle=4):
@@ -116,3 +117,10 @@ def test_forest_has_no_more_edges_than_values():
     x = np.arange(16, dtype=np.int64)  # all within four bits of each other
     u, v = S.forest(x, np.zeros(16, dtype=np.int64), 4)
     assert len(u) == 15 and set(v) == {0}
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, slow_fingerprint(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = op7_pivot_simhash(spark, sf).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(slow_components(rows))

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -66,3 +68,40 @@ def test_ratios_are_zero_where_nothing_is_known():
     toxic, other = np.array([0, 50, 0, 10]), np.array([0, 0, 500, 90])
     ratios = X.log_ratios(toxic, other, 100, 900)
     assert ratios[0] == 0 and ratios[1] > 2 and ratios[2] < -1 and ratios[3] == 0
+
+
+def slow_score(text, model):
+    """From plain code: the weights of the n-grams of each distinct word, one by one."""
+    mask, total = 2**64 - 1, model.bias
+    for w in {*re.findall(r"[^\W\d_]+", text.lower())}:
+        marked = f"<{w}>"
+        for order in (3, 4, 5, 6):
+            for i in range(len(marked) - order + 1):
+                rolling = 0
+                for c in marked[i : i + order]:
+                    rolling = (rolling * 0x100000001B3 + ord(c)) & mask
+                mixed = ((rolling ^ (rolling >> 29)) * 0x9E3779B97F4A7C15) & mask
+                total += model.weights[(mixed >> 40) % X.SIZE]
+    return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+
+def test_query_equals_brute_force(spark):
+    """Every document of a given table; the model is the query's, its application is plain code."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.fit(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in op9_naive_bayes_ngram_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        want = slow_score(r.text or "", model)
+        assert abs(got[r.doc_id][0] - want) < 1e-6 and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.5)
+
+
+def test_the_sample_is_bounded_in_entries(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "bad word here" if i % 2 else "nice thing here") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    sizes, fit = [], X.fit_logistic
+    monkeypatch.setattr(X, "fit_logistic", lambda index, *more: sizes.append(len(index)) or fit(index, *more))
+    X.fit(docs, labels)
+    monkeypatch.setattr(X, "FIT_ENTRIES", sizes[0] // 10)
+    X.fit(docs, labels)
+    assert 0.05 * sizes[0] < sizes[1] < 0.15 * sizes[0]
