@@ -129,6 +129,11 @@ def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def nothing_kept() -> None:
+    """For functions that keep nothing: what an earlier stage has learnt doesn't add to what they need."""
+    _KEPT.clear()
+
+
 def blocks(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [i, j) whose sizes add up to about `most`; a larger one stands alone or ends a run."""
     start = total = 0

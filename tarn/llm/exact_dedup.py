@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import bitmap, blocks, cut, id_and_text, map_texts, numbered, staying, stored, temporary
+from tarn.llm.common import bitmap, blocks, cut, id_and_text, map_texts, nothing_kept, numbered, staying, stored, temporary
 
 #: (prime, base): primes below 2^31, so that a product of two residues fits 62 bits.
 MODULI = ((2147483647, 1000003), (2147483629, 69069))
@@ -115,6 +115,7 @@ def same(a: bytes, b: bytes) -> bool:
 
 def _describe(moduli):
     def work(texts):
+        nothing_kept()
         bodies = [normalised(t) for t in texts]
         h1, h2 = fingerprints(bodies, moduli)
         return {

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import blocks, id_and_text, map_texts, numbered, staying, stored, temporary
+from tarn.llm.common import blocks, id_and_text, map_texts, nothing_kept, numbered, staying, stored, temporary
 from tarn.llm.simhash import components, shingle_hashes
 
 SHINGLE = 5
@@ -60,6 +60,8 @@ BANDS, MIN_HASHES = 24, 4
 #: Shingles of a part of a loose group, and of the groups that are handed to a task at once.
 PART_SHINGLES, BIN_SHINGLES = 200_000, 200_000
 PIVOTS = 32
+#: Hashes of a block of sets whose bits are counted at once.
+HASHES_AT_ONCE = 20_000
 BITMAP_BITS = 1 << 26
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * MIN_HASHES), dtype=np.uint64)
 _TURNS = np.random.default_rng(43).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -93,16 +95,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """A row of WORDS words for each non-empty set: the bits that are set in over half of its hashes, hashed anew for each word."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    hashes, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
     out = np.zeros((len(sets), WORDS), dtype=np.uint64)
-    for word, turn in enumerate(_TURNS):
-        x = hashes * turn
-        x ^= x >> np.uint64(32)
-        x *= _TURNS[word - 1]
-        x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[:, word] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    for i, j in blocks(sizes.tolist(), HASHES_AT_ONCE):
+        hashes, starts = np.concatenate(sets[i:j]), np.cumsum(sizes[i:j]) - sizes[i:j]
+        for word, turn in enumerate(_TURNS):
+            x = hashes * turn
+            x ^= x >> np.uint64(32)
+            x *= _TURNS[word - 1]
+            x ^= x >> np.uint64(29)
+            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            out[i:j, word] = np.packbits(2 * ones > sizes[i:j, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -113,6 +116,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _describe(texts: list[str]) -> dict[str, list]:
     import xxhash
 
+    nothing_kept()
     sets = [shingle_set(t) for t in texts]
     return {
         "same": [xxhash.xxh128_digest(s.tobytes()) for s in sets],

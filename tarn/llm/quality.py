@@ -42,7 +42,7 @@ from tarn.llm.linear import fit_logistic, probability
 SIZE = 1 << 12
 FIT_ROWS, RIDGE = 20_000, 1e-5
 THRESHOLD = 0.5
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Words of so many characters are read each time, and not remembered.
 LONG_WORD = 64
 #: Words of a window within which a text's words are distinct or not.
