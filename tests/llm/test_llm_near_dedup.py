@@ -52,16 +52,15 @@ def copies(rng):
 
 
 def test_stage_equals_brute_force(spark, monkeypatch):
-    """Also with loose groups that are split into many parts."""
+    """With loose groups that are split into many parts."""
     rows = list(enumerate(some_texts(random.Random(5)) + copies(random.Random(15))))
     want = slow_kept(rows)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, fp int, row string")
     assert len(want) < len(rows) - 60
-    for shingles in (200_000, 1500):
-        monkeypatch.setattr(N, "PART_SHINGLES", shingles)
-        found = simhash_near_dedup(spark, docs, "")
-        assert found.columns == docs.columns
-        assert sorted(r.doc_id for r in found.collect()) == want
+    monkeypatch.setattr(N, "PART_SHINGLES", 1500)
+    found = simhash_near_dedup(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted(r.doc_id for r in found.collect()) == want
 
 
 def test_pairs_at_the_least_similarity_are_looked_at():
