@@ -189,15 +189,18 @@ def _shingles(texts: DataFrame) -> DataFrame:
 
 def _prefixes(texts: DataFrame, live: DataFrame) -> DataFrame:
     """(row, h): the shingles of each live unit's prefix that another one holds."""
-    shingles = _written(_shingles(_texts_of(texts, live)))
-    shared = _written(shingles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    held = shingles.join(shared, "h").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
-    up, down = LEAST
-    # The shingles that no other unit holds come first.
-    alone = F.col("size") - F.size("held")
-    wanted = F.col("size") - F.floor((F.col("size") * up + (down - 1)) / down) + 1 - alone
-    first = F.slice("held", F.lit(1), F.greatest(F.lit(0), wanted).cast("int"))
-    return _written(held.select("row", F.explode(first).alias("x")).select("row", "x.h"))
+    with temporary(texts.sparkSession):  # the table of all shingles goes first
+        shingles = _written(_shingles(_texts_of(texts, live)))
+        shared = _written(shingles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        held = shingles.join(shared, "h").groupBy("row", "size")
+        held = held.agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
+        up, down = LEAST
+        # The shingles that no other unit holds come first.
+        alone = F.col("size") - F.size("held")
+        wanted = F.col("size") - F.floor((F.col("size") * up + (down - 1)) / down) + 1 - alone
+        first = F.slice("held", F.lit(1), F.greatest(F.lit(0), wanted).cast("int"))
+        found = held.select("row", F.explode(first).alias("x")).select("row", "x.h")
+        return stored(found, "near-dedup", outlives=True)
 
 
 def _loose_groups(prefixes: DataFrame) -> DataFrame:

@@ -30,19 +30,20 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import column, cut, id_and_text, kept_in_worker, map_texts, stored, unused
+from tarn.llm.common import bitmap, column, cut, id_and_text, kept_in_worker, map_texts, unused
 from tarn.llm.linear import fit_logistic, probability
 
 SIZE = 1 << 12
 FIT_ROWS, RIDGE = 20_000, 1e-5
 THRESHOLD = 0.5
 KEPT_WORDS = 200_000
+#: Bits of the bitmap of rejected texts (8 MB).
+BITMAP_BITS = 1 << 26
 #: Words of so many characters are read each time, and not remembered.
 LONG_WORD = 64
 #: Words of a window within which a text's words are distinct or not.
@@ -334,23 +335,40 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
 def kept(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs, all columns, that a scorer fitted on docs doesn't reject.
 
-    Texts are read once: docs are stored with what labellers and features see in
-    them, and the scorer reads that.
+    What the scorer rejects is known once it is fitted, by hashes of the texts. A
+    bitmap of them, of fixed size, goes with the second pass over the texts, which
+    describes and scores again only what hits it.
     """
-    taken = [*docs.columns]
-    names = {n: unused(taken, n) for n in ("place", *(f.name for f in _FIELDS))}
+    texts = docs.select(column(text_col).cast("string").alias("text")).withColumn("place", _place())
 
     def describe(texts: list[str]) -> dict[str, list]:
-        return {names[n]: found for n, found in _describe(texts).items()}
+        return _describe(texts) | {"id": [text_hash(t) for t in texts]}
 
-    fields = [T.StructField(names[f.name], f.dataType) for f in _FIELDS]
-    rows = stored(map_texts(docs.withColumn(names["place"], _place()), fields, lambda: describe, text_col, keep_text=True), "quality")
-    model = fit(rows.select(*[column(own).alias(n) for n, own in names.items()]), fit_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = cut(map_texts(texts, [T.StructField("id", T.LongType()), *_FIELDS], lambda: describe))
+    model = fit(rows, fit_rows)
+    rejected = scores(rows, model).where(~F.col("kept"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model, bitmap(rejected, F.col("id"), BITMAP_BITS)))
+    name = unused(docs.columns, "score")
 
-    @F.pandas_udf("double")
-    def score(index: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(i, v) for i, v in zip(index, value)], dtype=float)
+    def make():
+        model, hits = shared.value
 
-    scored = score(column(names["index"]), column(names["value"]))
-    return rows.where(column(names["votes"]).isNotNull()).where(scored >= THRESHOLD).select(*map(column, docs.columns))
+        def work(texts: list[str]) -> dict[str, list]:
+            at = [text_hash(t) % BITMAP_BITS for t in texts]
+            again = [i for i, k in enumerate(at) if hits[k >> 3] >> (k & 7) & 1]
+            out, found = [1.0] * len(texts), _describe([texts[i] for i in again])
+            for i, voted, index, value in zip(again, found["votes"], found["index"], found["value"]):
+                out[i] = model.score(index, np.float32(value)) if voted else 0.0
+            return {name: out}
+
+        return work
+
+    found = map_texts(docs, [T.StructField(name, T.DoubleType())], make, text_col, keep_text=True)
+    return found.where(column(name) >= THRESHOLD).select(*map(column, docs.columns))
+
+
+def text_hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode()) >> 1
