@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tarn.llm.common import id_and_text, kept_in_worker, map_texts
 
-KEPT_PIECES, KEPT_BYTES, KEPT_PAIRS = 600_000, 32_000_000, 500_000
+KEPT_PIECES, KEPT_BYTES, KEPT_PAIRS = 300_000, 16_000_000, 250_000
 WHITE = " \t\n\r\x0b\x0c"
 #: White space and the text up to the next white space: the pattern never matches across the end of one.
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")

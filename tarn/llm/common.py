@@ -19,6 +19,9 @@ from tarn.sources.tables import read_table
 #: Texts handed to a function at once hold about so many bytes; one longer text goes alone.
 BLOCK_BYTES = 2_000_000
 
+#: Texts of an Arrow batch.
+BATCH_ROWS = 2000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only for a local session without it."""
@@ -160,6 +163,13 @@ def bitmap(rows: DataFrame, number: Column, bits: int) -> bytes:
     return bytes(out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS texts at most, unless the session has a number of its own: executors hold several at once."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_texts(
     df: DataFrame,
     fields: list[T.StructField],
@@ -193,6 +203,7 @@ def map_texts(
                     schema=arrow,
                 )
 
+    small_batches(df.sparkSession)
     # Any column name will do, also one with dots.
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
