@@ -22,6 +22,9 @@ BLOCK_BYTES = 2_000_000
 #: Texts of an Arrow batch.
 BATCH_ROWS = 2000
 
+#: Bits of each of the two bitmaps of rows that stay and go (8 MB); a power of two from 32768 on.
+STAYING_BITS = 1 << 26
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only for a local session without it."""
@@ -103,8 +106,37 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def staying(rows: DataFrame, name: str, stay: DataFrame) -> DataFrame:
-    """The numbered rows whose number is in the column row of stay, without the number."""
-    return rows.join(stay.select(F.col("row").alias(name)), name, "left_semi").drop(name)
+    """The numbered rows whose number is in the column row of stay, without the number.
+
+    Two bitmaps of fixed size, of the hashed numbers that stay and of those that
+    go, decide nearly all rows where they are read. Only rows whose bit is in both
+    are shuffled, and joined with stay.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(STAYING_BITS))
+    part, bit = F.floor(place / 32768).cast("int"), F.pmod(place, F.lit(32768))
+    of, kept, gone = (unused(rows.columns, n) for n in ("part_of_bits", "bits_kept", "bits_gone"))
+    # At most STAYING_BITS / 32768 rows of 8 KB; every row's part is among them.
+    bits = (
+        rows.select(name)
+        .join(stay.select(F.col("row").alias(name), F.lit(True).alias("stays")), name, "left")
+        .groupBy(part.alias(of))
+        .agg(
+            F.bitmap_construct_agg(F.when(F.col("stays"), bit)).alias(kept),
+            F.bitmap_construct_agg(F.when(F.col("stays").isNull(), bit)).alias(gone),
+        )
+    )
+    bits = stored(bits, "staying")
+
+    def held(found: str) -> Column:
+        byte = F.conv(F.hex(F.substring(found, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
+
+    marked = rows.withColumn(of, part).join(F.broadcast(bits), of).where(held(kept))
+    sure = marked.where(~held(gone)).select(*[column(c) for c in rows.columns])
+    unsure = marked.where(held(gone)).select(*[column(c) for c in rows.columns])
+    # An inner join: Spark would push a semi join below the bitmaps, and shuffle all rows.
+    unsure = unsure.join(stay.select(F.col("row").alias(name)).distinct(), name)
+    return sure.drop(name).union(unsure.drop(name))
 
 
 def column(name: str) -> Column:

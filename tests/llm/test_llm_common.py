@@ -59,3 +59,48 @@ def test_bitmap(spark):
     bits = common.bitmap(spark.createDataFrame([(n,) for n in numbers], "n long"), F.col("n"), 65536)
     assert len(bits) == 8192
     assert {i for i in range(65536) if bits[i >> 3] >> (i & 7) & 1} == {n % 65536 for n in numbers}
+
+
+def shuffled(frame, column):
+    """The rows that shuffles of a column moved while the frame was computed; without adaptive plans."""
+    frame._jdf.collectToPython()
+    nodes, moved = [frame._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Exchange" and f" {column}#" in f" {node.output().mkString(' ')}":
+            moved += node.metrics().apply("shuffleRecordsWritten").value()
+    return moved
+
+
+@pytest.mark.parametrize("bits", [common.STAYING_BITS, 32768])
+def test_rows_that_stay_are_not_shuffled(spark, monkeypatch, bits):
+    """With few bits some rows share one; these are shuffled, and the result is the same."""
+    monkeypatch.setattr(common, "STAYING_BITS", bits)
+    docs = spark.range(6000).selectExpr("id doc_id", "repeat('x', 90) text", "id `a.b`", "-id part_of_bits", "-id BITS_kept", "-id bits_gone")
+    rows, number = common.numbered(docs, "test")
+    stay = common.stored(rows.where("doc_id % 3 <> 0").select(F.col(number).alias("row")), "test")
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        found = common.staying(rows, number, stay)
+        moved = shuffled(found, "text")
+        assert found.columns == docs.columns
+        want = sorted((i, "x" * 90, i, -i, -i, -i) for i in range(6000) if i % 3)
+        assert sorted(map(tuple, found.collect())) == want
+    finally:
+        for n, value in old.items():
+            spark.conf.set(n, value)
+    # With 2^26 bits hardly any two of 6,000 rows share one; with 32,768 about 6 % of those that stay do.
+    assert moved < 10 if bits > 32768 else 0 < moved < 1000
+
+
+def test_all_rows_stay_or_go(spark):
+    rows, number = common.numbered(spark.range(50).toDF("doc_id"), "test")
+    every = rows.select(F.col(number).alias("row"))
+    assert common.staying(rows, number, every).count() == 50
+    assert common.staying(rows, number, every.where("false")).count() == 0
+    assert common.staying(rows.where("false"), number, every.where("false")).count() == 0
