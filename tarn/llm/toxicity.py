@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import blocks, column, cut, id_and_text, map_texts, stored, temporary
+from tarn.llm.common import blocks, column, cut, id_and_text, map_texts, small_batches, stored, temporary
 from tarn.llm.linear import fit_logistic, probability
 
 ORDERS = (3, 4, 5, 6)
@@ -46,6 +46,8 @@ FIT_ROWS, FIT_ENTRIES = 20_000, 30_000_000
 RIDGE, ROUNDS = 1e-4, 1000
 FOLDS = 5
 BITMAP_BITS = 1 << 26
+#: Bytes of texts that are counted together, and features of a batch that a task returns.
+WORD_BYTES, COUNTS_AT_ONCE = 1_000_000, 1 << 15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -64,8 +66,9 @@ class Words:
         points = np.frombuffer("".join([f"<{w}>" for w in self.number]).encode("utf-32-le"), np.uint32)
         points = np.concatenate((points, np.zeros(max(ORDERS), np.uint32))).astype(np.uint64)
         n = int(lengths.sum())
-        word = np.repeat(np.arange(len(lengths)), lengths)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # characters from here to the word's end
+        word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        # Characters from here to the word's end.
+        left = (np.repeat(np.cumsum(lengths), lengths) - np.arange(n)).astype(np.int32)
         rolling = np.zeros(n, np.uint64)
         self.owner, self.feature = [], []
         for order in range(1, max(ORDERS) + 1):
@@ -74,7 +77,7 @@ class Words:
                 mixed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
                 fits = left >= order
                 self.owner.append(word[fits])
-                self.feature.append((mixed[fits] >> np.uint64(40)).astype(np.int64) % SIZE)
+                self.feature.append((mixed[fits] >> np.uint64(40)).astype(np.int32) % np.int32(SIZE))
         self.owner, self.feature = np.concatenate(self.owner), np.concatenate(self.feature)
 
     def sums(self, weights: np.ndarray) -> dict[str, float]:
@@ -143,18 +146,21 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         seen = np.zeros(SIZE, dtype=bool)
         for batch in batches:
             texts, labels = batch.column("text"), batch.column("label").to_pylist()
-            for i, j in blocks(pc.binary_length(texts).to_pylist()):
+            for i, j in blocks(pc.binary_length(texts).to_pylist(), WORD_BYTES):
                 for found, label in zip(Words(texts.slice(i, j - i).to_pylist()).features(), labels[i:j]):
                     seen[found] = True
                     at = np.flatnonzero(seen)
                     held[label, at] += 1
                     held[label, SIZE] += 1
                     seen[at] = False
-        at = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(held[1, at]), pa.array(held[0, at])], names=["feature", "toxic", "other"]
-        )
-
+        found = np.flatnonzero(held.any(axis=0))
+        for i in range(0, len(found), COUNTS_AT_ONCE):
+            at = found[i : i + COUNTS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(held[1, at]), pa.array(held[0, at])], names=["feature", "toxic", "other"]
+            )
+
+    small_batches(rows.sparkSession)
     sums = (
         rows.select("text", "label")
         .mapInArrow(count, "feature long, toxic long, other long")

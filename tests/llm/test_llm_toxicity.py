@@ -105,3 +105,23 @@ def test_the_sample_is_bounded_in_entries(spark, monkeypatch):
     monkeypatch.setattr(X, "FIT_ENTRIES", sizes[0] // 10)
     X.fit(docs, labels)
     assert 0.05 * sizes[0] < sizes[1] < 0.15 * sizes[0]
+
+
+def test_a_block_of_words_takes_little_memory():
+    """A megabyte of words that are nearly all different; its numbers have four bytes each."""
+    text = " ".join("".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 17, 19, 23)) + chr(97 + i % 26) * (i % 5) for i in range(100_000))
+    block = X.Words([text])
+    assert block.owner.dtype == block.feature.dtype == np.int32
+    assert len(block.owner) == len(block.feature) and block.feature.max() < X.SIZE
+
+
+def test_counts_come_in_batches(spark, monkeypatch):
+    """As many as without, over several batches of a task and blocks of a batch."""
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} thing {'bad' if i % 2 else 'nice'}") for i in range(300)], "doc_id long, text string")
+    rows = docs.selectExpr("text", "int(doc_id % 2) label").coalesce(2)
+    want = X._counts(rows)
+    monkeypatch.setattr(X, "COUNTS_AT_ONCE", 7)
+    monkeypatch.setattr(X, "WORD_BYTES", 50)
+    got = X._counts(rows)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got)) and want[2:] == (150, 150)
+    assert want[0].max() > 100
