@@ -23,12 +23,12 @@ to agree; so other keys say which pairs to look at:
    more. The rest is decided by the sets of 64-bit hashes. At 0.8, RADIUS is
    passed with a probability of about 2e-7 for sets of four and five, and less than
    1e-12 for large ones.
-4. A group with more shingles than PART_SHINGLES is dealt into parts that are
-   verified apart. The components found there are joined through one unit of
-   each, as far as these are linked. What is left is compared across components:
+4. The sets and fingerprints of a group with more shingles than PART_SHINGLES are
+   stored once. The group is dealt into parts that are verified apart. The
+   components found there are joined through one unit of each, that most like
+   what its members have in common. What is left is compared across components:
    the largest one is dealt into parts, and the units outside it go to each of
-   them. So a large group of copies is sent about twice, and not to as many tasks
-   as it has parts.
+   them and to each other's; pairs of one part are compared once.
 
 Defined cases: a null or blank text has the empty set, and all such texts are
 linked; a shorter text is one shingle. Of a component, the row with the smallest
@@ -38,7 +38,7 @@ result. All columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.common import blocks, id_and_text, map_texts, nothing_kept, numbered, staying, stored, temporary
-from tarn.llm.simhash import components, shingle_hashes
+from tarn.llm.simhash import components
 
 SHINGLE = 5
 #: A fingerprint's words of 64 bits, and how many of its bits may differ.
@@ -60,17 +60,36 @@ BANDS, MIN_HASHES = 24, 4
 #: Shingles of a part of a loose group, and of the groups that are handed to a task at once.
 PART_SHINGLES, BIN_SHINGLES = 200_000, 200_000
 PIVOTS = 32
-#: Hashes of a block of sets whose bits are counted at once.
-HASHES_AT_ONCE = 20_000
+#: Hashes of a set whose bits are counted at once: as many as a byte counts.
+HASHES_AT_ONCE = 255
+#: Shingles of a group, those held most, that are bits of its members; a multiple of 64.
+COMMON = 512
 BITMAP_BITS = 1 << 26
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * MIN_HASHES), dtype=np.uint64)
 _TURNS = np.random.default_rng(43).integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+_PLACES = np.random.default_rng(44).integers(0, 2**64, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
 _FACTORS, _TERMS, _MIX = _DRAW[0] | np.uint64(1), _DRAW[1], _DRAW[2] | np.uint64(1)
 
 
 def shingle_set(text: str) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_hashes(text, SHINGLE))
+    """The sorted distinct hashes of a text's shingles, made of the hashes of their words; a shorter text is one."""
+    import xxhash
+
+    words = text.encode().lower().split()  # both act on ASCII alone
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    found = np.zeros(n, dtype=np.uint64)
+    for place in range(min(SHINGLE, len(words))):
+        found += hashes[place : place + n] * _PLACES[place]
+    found ^= found >> np.uint64(32)
+    found *= _PLACES[SHINGLE]
+    found ^= found >> np.uint64(29)
+    found.sort()
+    new = np.ones(n, dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -94,18 +113,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """A row of WORDS words for each non-empty set: the bits that are set in over half of its hashes, hashed anew for each word."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     out = np.zeros((len(sets), WORDS), dtype=np.uint64)
-    for i, j in blocks(sizes.tolist(), HASHES_AT_ONCE):
-        hashes, starts = np.concatenate(sets[i:j]), np.cumsum(sizes[i:j]) - sizes[i:j]
-        for word, turn in enumerate(_TURNS):
-            x = hashes * turn
+    others = np.roll(_TURNS, 1)
+    for place, hashes in enumerate(sets):
+        ones = np.zeros(64 * WORDS, dtype=np.int64)
+        for at in range(0, len(hashes), HASHES_AT_ONCE):
+            x = hashes[at : at + HASHES_AT_ONCE, None] * _TURNS
             x ^= x >> np.uint64(32)
-            x *= _TURNS[word - 1]
+            x *= others
             x ^= x >> np.uint64(29)
-            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[i:j, word] = np.packbits(2 * ones > sizes[i:j, None], axis=1, bitorder="little").view("<u8")[:, 0]
+            bits = np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint8)
+        out[place] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
     return out
 
 
@@ -212,10 +231,16 @@ def _loose_groups(prefixes: DataFrame) -> DataFrame:
 
 
 class Group:
-    """The members of a group in a task: non-empty sets, and who is connected."""
+    """The members of a group in a task: non-empty sets, and who is connected.
+
+    Members of one side are not compared with each other, unless that side is BOTH.
+    """
+
+    BOTH = 2
 
-    def __init__(self, sets: list[np.ndarray], component: np.ndarray):
-        self.sets, self.fps, n = sets, fingerprints(sets), len(sets)
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray | None = None, fps: np.ndarray | None = None):
+        self.sets, self.fps, n = sets, fingerprints(sets) if fps is None else fps, len(sets)
+        self.side = np.full(n, self.BOTH) if side is None else side
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         first, self.root = np.unique(component, return_index=True, return_inverse=True)[1:]
         self.root = first[self.root]
@@ -224,15 +249,22 @@ class Group:
         self.table = np.stack([distances(self.fps, self.fps[p]) for p in pivots], axis=1).astype(np.int16)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.element, self.count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        self.owner = np.repeat(np.arange(n), self.sizes)
+        # What several members hold: bits for the COMMON held most, the rest as it is.
+        rank = np.full(len(self.count), COMMON)
+        top = np.argsort(-self.count, kind="stable")[:COMMON]
+        rank[top] = np.arange(len(top))
+        rank[self.count == 1] = COMMON + 1
+        rank = rank[self.element]
+        bits = np.zeros((n, COMMON), dtype=bool)
+        bits[self.owner[rank < COMMON], rank[rank < COMMON]] = True
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.rest, of = self.element[rank == COMMON], self.owner[rank == COMMON]
+        self.rest_sizes = np.bincount(of, minlength=n)
+        self.rest_starts = np.cumsum(self.rest_sizes) - self.rest_sizes
         self.mark = np.zeros(len(self.count), dtype=bool)
-        self.looked_at: dict[int, np.ndarray] = {}
         self.seen = self.discarded = 0
 
-    def _find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
-
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs sizes, pivots and fingerprints leave."""
         up, down = LEAST
@@ -244,75 +276,114 @@ class Group:
         left[left] = distances(self.fps[i[left]], self.fps[j[left]]) <= RADIUS
         return left
 
-    def _join(self, i: int, j: int) -> None:
-        x, y = self._find(i), self._find(j)
-        self.root[max(x, y)] = min(x, y)
-
-    def compare(self, i: int, others: np.ndarray) -> None:
-        """Link i to those of the others whose sets are alike; all their sets are gone through once."""
+    def compare(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose sets are like that of i; the rest of a set is gone through only if its bits leave that open."""
         up, down = LEAST
-        sizes = self.sizes[others]
-        flat = np.repeat(self.starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        own = self.element[self.starts[i] : self.starts[i] + self.sizes[i]]
-        self.mark[own] = True
-        both = np.add.reduceat(self.mark[self.element[flat]], np.cumsum(sizes) - sizes, dtype=np.int64)
-        self.mark[own] = False
-        for j in others[down * both >= up * (self.sizes[i] + sizes - both)].tolist():
-            self._join(i, j)
+        both = np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        least = -(-up * (self.sizes[others] + self.sizes[i]) // (up + down))
+        unsure = (both < least) & (both + np.minimum(self.rest_sizes[others], self.rest_sizes[i]) >= least)
+        if unsure.any():
+            at, sizes = self.rest_starts[others[unsure]], self.rest_sizes[others[unsure]]
+            before = np.cumsum(sizes) - sizes
+            flat = np.repeat(at - before, sizes) + np.arange(sizes.sum())
+            own = self.rest[self.rest_starts[i] : self.rest_starts[i] + self.rest_sizes[i]]
+            self.mark[own] = True
+            both[unsure] += np.add.reduceat(self.mark[self.rest[flat]], before, dtype=np.int64)
+            self.mark[own] = False
+        return others[both >= least]
 
     def candidates(self) -> list[np.ndarray]:
-        """For each shingle that is in the prefixes of several members, those members, the smallest set first."""
-        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
-        element, count = self.element, self.count
+        """For each shingle that is in the prefixes of several members, those members."""
+        element, count, owner = self.element, self.count, self.owner
         order = np.lexsort((element, count[element], owner))
         place = np.arange(len(owner)) - np.repeat(self.starts, self.sizes)
         first = (place < np.repeat(prefix_length(self.sizes), self.sizes)) & (count[element[order]] > 1)
         element, owner = element[order][first], owner[first]
-        order = np.lexsort((self.sizes[owner], element))
+        order = np.argsort(element, kind="stable")
         edges = np.flatnonzero(np.diff(element[order])) + 1
         return [m for m in np.split(owner[order], edges) if len(m) > 1]
 
-    def _settle(self) -> None:
-        while not np.array_equal(self.root, up := self.root[self.root]):
-            self.root = up
+    def middle(self, members: np.ndarray) -> int:
+        """The member whose set is most like what over half of the members hold."""
+        if len(members) < 3:
+            return members[0]
+        sizes = self.sizes[members]
+        before = np.cumsum(sizes) - sizes
+        flat = self.element[np.repeat(self.starts[members] - before, sizes) + np.arange(sizes.sum())]
+        held, count = np.unique(flat, return_counts=True)
+        held = held[2 * count > len(members)]
+        self.mark[held] = True
+        both = np.add.reduceat(self.mark[flat], before, dtype=np.int64)
+        self.mark[held] = False
+        return members[np.argmax(both / (sizes + len(held) - both))]
 
     def verified(self) -> list[tuple[int, int]]:
-        """(member, first member of its component) for a member of each component that was joined to another."""
+        """(member, another of its component) for a member of each component that was joined to another."""
         found = self.candidates()
-        if found:
-            # Neighbours by size connect most of what is connected.
-            pairs = np.unique(np.concatenate([np.sort(np.stack((m[:-1], m[1:]), axis=1), axis=1) for m in found]), axis=0)
-            for i, j in pairs[self.near(pairs[:, 0], pairs[:, 1])].tolist():
-                if self._find(i) != self._find(j) and alike(self.sets[i], self.sets[j]):
-                    self._join(i, j)
-        for members in found:
-            # Then what is outside the largest component is compared with all that it isn't connected to.
-            self._settle()
-            root, inverse, count = np.unique(self.root[members], return_inverse=True, return_counts=True)
-            for i in members[root[inverse] != root[count.argmax()]].tolist():
-                done = self.looked_at.setdefault(i, np.zeros(len(self.sets), dtype=bool))
-                others = members[~done[members]]
-                others = others[self.root[others] != self._find(i)]
-                done[others] = True
-                others = others[self.near(np.full(len(others), i), others)]
-                if others.size:
-                    self.compare(i, others)
-        self._settle()
-        return [(i, r) for i, r in zip(self.ones.tolist(), self.root[self.ones].tolist()) if i != r]
-
-
-def _links(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect what is linked within each group, from members (row, size, component, g)."""
+        if not found:
+            return []
+        lists = np.repeat(np.arange(len(found)), [len(m) for m in found])
+        holders = np.concatenate(found)
+        lists, ends = lists[np.argsort(holders, kind="stable")], np.cumsum(np.bincount(holders, minlength=len(self.sets)))
+        # Members that hold much of what others hold come first, the first of them of the largest component. What it is
+        # connected to is left out; all others are compared with each that hasn't been, and isn't connected to them.
+        order = np.argsort(-np.add.reduceat(self.count[self.element], self.starts) / self.sizes, kind="stable")
+        large = np.bincount(self.root).argmax()
+        hub = order[self.root[order] == large][0]
+        wanted, done = np.zeros(len(self.sets), dtype=bool), np.zeros(len(self.sets), dtype=bool)
+        for i in [hub, *order.tolist()]:
+            if done[i] or i != hub and self.root[i] == self.root[hub]:
+                continue
+            done[i] = True
+            own = lists[ends[i - 1] if i else 0 : ends[i]].tolist()
+            if not own:
+                continue
+            for k in own:
+                wanted[found[k]] = True
+            others = np.flatnonzero(wanted & ~done & (self.root != self.root[i]) & ((self.side != self.side[i]) | (self.side == self.BOTH)))
+            wanted[:] = False
+            others = others[self.near(np.full(len(others), i), others)]
+            if others.size and (linked := self.compare(i, others)).size:
+                roots = np.append(self.root[linked], self.root[i])
+                to = np.arange(len(self.sets))
+                to[roots] = roots.min()
+                self.root = to[self.root]
+        joined = []
+        by = self.ones[np.argsort(self.root[self.ones], kind="stable")]
+        for members in np.split(by, np.flatnonzero(np.diff(self.root[by])) + 1):
+            if len(members) > 1:
+                joined += [(i, m) for m in [int(self.middle(members))] for i in members.tolist() if i != m]
+        return joined
+
+
+_SET_FIELDS = [T.StructField("shingles", T.BinaryType()), T.StructField("fp", T.BinaryType())]
+
+
+def _sets(texts: list[str]) -> dict[str, list]:
+    sets = [shingle_set(t) for t in texts]
+    return {"shingles": [s.astype("<u8").tobytes() for s in sets], "fp": [f.astype("<u8").tobytes() for f in fingerprints(sets)]}
+
+
+def _links(members: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) that connect what is linked within each group, from members (row, size, component, side, g).
+
+    bodies adds the texts, or shingles and fp, to rows. Of a component that was found here, all v are the same.
+    """
     members = _written(members)
     bins = max(1, -(-(members.agg(F.sum("size")).first()[0] or 0) // BIN_SHINGLES))
-    grouped = _texts_of(texts, members).withColumn("bin", F.pmod(F.col("g"), F.lit(bins)))
+    grouped = bodies(members).withColumn("bin", F.pmod(F.col("g"), F.lit(bins)))
 
     def of_bin(found: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, rows in found.groupby("g", sort=False):
-            rows = rows.sort_values("row")
+            rows, fps = rows.sort_values("row"), None
             row = rows["row"].to_numpy()
-            group = Group([shingle_set(t) for t in rows["text"]], rows["component"].to_numpy())
+            if "text" in rows:
+                sets = [shingle_set(t) for t in rows["text"]]
+            else:
+                sets = [np.frombuffer(b, dtype="<u8") for b in rows["shingles"]]
+                fps = np.stack([np.frombuffer(b, dtype="<u8") for b in rows["fp"]])
+            group = Group(sets, rows["component"].to_numpy(), rows["side"].to_numpy(), fps)
             out += [(row[a], row[b]) for a, b in group.verified()]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
@@ -335,30 +406,45 @@ def _part(parts, turn: int):
     return F.pmod(F.xxhash64("row", F.lit(turn)), parts)
 
 
+def _alone(rows: DataFrame, g) -> DataFrame:
+    """Members (row, size, component, side, g) that nothing connects yet, from rows (row, size, ...)."""
+    return rows.select("row", "size", F.col("row").alias("component"), F.lit(Group.BOTH).alias("side"), g.alias("g"))
+
+
 def _verified_links(texts: DataFrame, placed: DataFrame) -> DataFrame:
     """Edges between rows that connect what is linked, from placed (row, root, size)."""
     sizes = _written(placed.groupBy("root").agg(_parts(F.sum("size")).alias("parts")))
-    members = _written(placed.withColumn("component", F.col("row")).join(sizes, "root"))
-    links = _links(texts, members.withColumn("g", F.xxhash64("root", _part(F.col("parts"), 0))).drop("root", "parts"))
-    members = _written(members.where("parts > 1").drop("parts"))
-    turn = 1
-    while not members.isEmpty():
-        # One unit of each component of a group that was dealt into parts.
-        members = _joined(members, links)
-        ones = members.where("component = row")
-        sizes = _written(ones.groupBy("root").agg(_parts(F.sum("size")).alias("parts"), F.count("*").alias("n")).where("n > 1"))
-        ones = ones.join(sizes, "root")
-        more = _links(texts, ones.withColumn("g", F.xxhash64("root", _part(F.col("parts"), turn))).drop("root", "parts", "n"))
-        if more.isEmpty():
-            return links.unionByName(_links_across(texts, members.join(sizes.select("root"), "root", "left_semi")))
-        links, turn = _written(links.unionByName(more)), turn + 1
-    return links
-
-
-def _links_across(texts: DataFrame, members: DataFrame) -> DataFrame:
+    placed = _written(placed.join(sizes, "root"))
+    links = _links(_alone(placed.where("parts = 1"), F.xxhash64("root")), lambda members: _texts_of(texts, members))
+    large = placed.where("parts > 1")
+    if large.isEmpty():
+        return links
+    sets = _written(map_texts(_texts_of(texts, large.select("row")), _SET_FIELDS, lambda: _sets))
+
+    def bodies(members):
+        return sets.join(members, "row")
+
+    found = _links(_alone(large, F.xxhash64("root", _part(F.col("parts"), 0))), bodies)
+    inner, turn = found, 0
+    ones = large.drop("parts").join(found.select(F.col("v").alias("row")).distinct(), "row")
+    while True:
+        # One unit of each component of a group that was dealt into parts; they are dealt anew while that joins many.
+        turn += 1
+        sizes = ones.groupBy("root").agg(_parts(F.sum("size")).alias("parts"), F.count("*").alias("n")).where("n > 1")
+        ones = _written(ones.join(_written(sizes), "root"))
+        found = _links(_alone(ones, F.xxhash64("root", _part(F.col("parts"), turn))), bodies)
+        inner = _written(inner.unionByName(found))
+        if ones.where("parts > 1").isEmpty() or 4 * found.count() < ones.count():
+            break
+        ones = ones.drop("parts", "n").join(found.select(F.col("u").alias("row")), "row", "left_anti")
+    return links.unionByName(inner).unionByName(_links_across(_joined(large.drop("parts"), inner), bodies))
+
+
+def _links_across(members: DataFrame, bodies: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges between components of one group, from members (row, root, size, component)."""
     by = members.groupBy("root", "component").agg(F.sum("size").alias("all"))
-    largest = _written(by.groupBy("root").agg(F.max(F.struct("all", "component")).alias("most"), F.sum("all").alias("total")))
+    largest = by.groupBy("root").agg(F.max(F.struct("all", "component")).alias("most"), F.sum("all").alias("total"))
+    largest = _written(largest.where("total > most.all"))
     largest = largest.select(
         "root", F.col("most.component").alias("large"), _parts(F.col("most.all")).alias("inner"), _parts(F.col("total") - F.col("most.all")).alias("outer")
     )
@@ -366,15 +452,25 @@ def _links_across(texts: DataFrame, members: DataFrame) -> DataFrame:
     inside = F.col("component") == F.col("large")
     own = F.when(inside, _part(F.col("inner"), -1)).otherwise(_part(F.col("outer"), -2)).cast("int")
 
-    def every(parts: str):
-        return F.sequence(F.lit(0), F.col(parts) - 1)
+    def every(parts: str, side, *g):
+        return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: F.struct(side(i).cast("int").alias("side"), F.xxhash64("root", *[x(i) for x in g]).alias("g")))
+
+    def named(name: str):
+        return lambda i: F.lit(name)
+
+    def mine(i):
+        return F.col("own")
 
     # A part of the largest component meets every outer part; outer parts meet each other too.
-    with_inner = F.transform(every("inner"), lambda i: F.xxhash64("root", F.lit("inner"), i, "own"))
-    with_outer = F.transform(every("outer"), lambda i: F.xxhash64("root", F.lit("outer"), F.least(i, "own"), F.greatest(i, "own")))
-    of_inner = F.transform(every("outer"), lambda i: F.xxhash64("root", F.lit("inner"), "own", i))
+    of_inner = every("outer", lambda i: F.lit(0), named("inner"), mine, lambda i: i)
+    with_inner = every("inner", lambda i: F.lit(1), named("inner"), lambda i: i, mine)
+    with_outer = every(
+        "outer",
+        lambda i: F.when(i == F.col("own"), Group.BOTH).otherwise((i < F.col("own")).cast("int")),
+        named("outer"), lambda i: F.least(i, "own"), lambda i: F.greatest(i, "own"),
+    )
     groups = F.when(inside, of_inner).otherwise(F.concat(with_inner, with_outer))
-    return _links(texts, members.withColumn("own", own).select("row", "size", "component", F.explode(groups).alias("g")))
+    return _links(members.withColumn("own", own).select("row", "size", "component", F.inline(groups)), bodies)
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -149,3 +149,49 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id for r in simhash_near_dedup(spark, docs, "").collect()), key=str)
     assert got == [2, 3, None]
     assert simhash_near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_texts_are_read_as_often_whatever_the_size_of_a_group(spark, monkeypatch):
+    """Near copies of which many are linked to none: not a pass over all texts for each turn that joins parts."""
+    rng, read, whole = random.Random(7), [], N._texts_of
+    monkeypatch.setattr(N, "PART_SHINGLES", 800)
+    monkeypatch.setattr(N, "_texts_of", lambda *a: read.append(1) or whole(*a))
+    bases = [[f"{k}b{rng.randrange(3000)}" for _ in range(60)] for k in range(2)]
+    rows = [(i, " ".join(edited(rng, bases[i % 2], rng.choice((0.01, 0.03, 0.06))))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_kept(rows)
+    assert 20 < len(want) < 200
+    assert sorted(r.doc_id for r in simhash_near_dedup(spark, docs, "").collect()) == want
+    assert len(read) == 3
+
+
+def test_sides_and_middle_of_a_group():
+    """With sides, only pairs across are compared; a component's middle is the unit most like the others."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(base[rng.permutation(300)[: 300 - n]]) for n in (40, 35, 0, 30, 45)]
+    assert N.Group(sets, np.arange(5)).verified() == [(i, 2) for i in (0, 1, 3, 4)]
+    assert N.Group(sets, np.arange(5), np.zeros(5, dtype=int)).verified() == []
+    linked = N.Group(sets, np.arange(5), np.array([0, 0, 1, 0, 0])).verified()
+    assert len(linked) == 4 and {i for pair in linked for i in pair} == set(range(5))
+
+
+def test_bits_and_the_rest_of_a_set_decide_exactly(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, n, replace=False), base[:60]))) for n in rng.integers(280, 400, 60)]
+    for common in (64, 512):
+        monkeypatch.setattr(N, "COMMON", common)
+        group, others = N.Group(sets, np.arange(60)), np.arange(1, 60)
+        want = [j for j in others.tolist() if N.alike(sets[0], sets[j])]
+        assert 0 < len(want) < 59
+        assert group.compare(0, others).tolist() == want
+
+
+def test_shingles_of_words_in_order():
+    assert len(N.shingle_set("")) == len(N.shingle_set(" \n")) == 0
+    assert len(N.shingle_set("a b c d")) == len(N.shingle_set("a b c d e")) == len(N.shingle_set("a " * 20)) == 1
+    assert N.shingle_set("A  b\nc") == N.shingle_set("a b c") != N.shingle_set("b a c")
+    rng = random.Random(10)
+    text = " ".join(rng.choice("abc") for _ in range(400))
+    assert len(N.shingle_set(text)) == len(shingles(text))
